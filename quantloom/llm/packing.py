@@ -10,8 +10,9 @@ the rounding; what they leave is placed by best fit on the histogram. Pieces the
 from __future__ import annotations
 
 import base64
-import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -23,12 +24,6 @@ from . import _text as T
 from ._common import Stages, id_in, id_out
 
 CAPACITY = 2048
-# White space as the pre-tokenizer's pattern has it.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs between which no token reaches: a run of other characters with the space before it, and white space.
-_RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Runs whose ids a worker remembers.
-REMEMBER = 400_000
 
 
 def vocabulary() -> str:
@@ -46,20 +41,13 @@ class _Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        ids = np.array(self.encode(run), "<u4").tobytes()
-        if len(run) <= 64:
-            self.known[run] = ids
-        return ids
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        get, miss = self.known.get, self.__missing__
-        return b"".join([get(r) or miss(r) for r in _RUNS.findall(text)])
+        """Unsigned 32-bit ids, little-endian."""
+        out = array("I", self.encode(text))
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
 
 @lru_cache(1)

@@ -96,10 +96,14 @@ def limits(measured: DataFrame, rules=RULES, least_rows: int = LEAST_ROWS) -> Da
     return both.select(*out)
 
 
+def row_hash() -> Column:
+    return F.xxhash64("text", F.col("lang").cast("string"), F.col("source").cast("string"))
+
+
 def quality_rules(docs: DataFrame, rules=RULES, *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, least_rows: int = LEAST_ROWS) -> DataFrame:
     """A verdict for each row of docs (doc_id, text, lang, source; other columns ignored).
 
-    Returns doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the ratios and limits,
+    Returns doc_id, lang, source, row_hash (of text, lang and source, to find the row again), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the ratios and limits,
     base_failed (n_words < min_words, or 100 * n_repeat_words > max_repeat_percent * n_words) and kept (passes the base
     rules and is above no limit of its language and source).
 
@@ -108,11 +112,11 @@ def quality_rules(docs: DataFrame, rules=RULES, *, min_words: int = MIN_WORDS, m
     limit. An empty table gives an empty result.
     """
     st = Stages(docs.sparkSession, "quality")
-    d = ratios(counts(docs.select(id_in().alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"), ["doc_id", "lang", "source"]))
+    d = ratios(counts(docs.select(id_in().alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").withColumn("row_hash", row_hash()), ["doc_id", "lang", "source", "row_hash"]))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     d = st.save(d.withColumn("base_failed", failed))
     lim = st.save(limits(d, rules, least_rows))
-    out = join_small(d, lim.withColumnsRenamed({"lang": "lang", "source": "source"}), ["lang", "source"])
+    out = join_small(d, lim, ["lang", "source"]).select(d["*"], *[f"max_{r.name}" for r in rules])
     above = F.lit(False)
     for r in rules:
         above = above | F.coalesce(F.col(r.name) > F.col(f"max_{r.name}"), F.lit(False))
