@@ -9,8 +9,10 @@ more empty chunks than those is dealt again with another seed (and in the end by
 pair that links shares a signature. Candidates are verified on the exact sets.
 
 Groups that share a signature are not paired out. Small groups are tested pair by pair; in a large one every member is
-tested against one hub. What the links leave in more than one component is dealt again with new seeds and larger groups,
-then tested between its components only. Components are thus exact, and a group of n copies costs about n tests.
+tested against the hubs that cover it, few where the members are alike. What the links leave in more than one component is
+then tested between its components only.
+Before texts are compared, a pair must pass the Hamming distance of two sketches of 64 * WORDS bits, so that nearly all
+texts that travel do link. Components are thus exact, and a group of n copies costs about n tests.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from ._common import NULL_ID, Stages, id_in, id_out
 from ._groups import classes, components, runs
 
 U = np.uint64
-#: Group sizes up to which all pairs are tested, by level; None: all pairs between components.
-GROUPS = (5, 48, None)
+#: Group size up to which all pairs are tested.
+PAIRED = 5
 #: Documents that are compared with one copy of a hub.
 HUB_SHARE = 256
 TRIES = 5
+#: Words of 64 bits of the sketch that is compared before texts are.
+WORDS = 16
 
 
 def bands(num: int, den: int, top: int) -> np.ndarray:
@@ -78,7 +82,7 @@ def signatures(codes: np.ndarray, band: np.ndarray, num: int, den: int, seed: in
             ps = part[order]
             first = np.flatnonzero(np.append(True, ps[1:] != ps[:-1]))
             x = np.bitwise_xor.reduceat(T.mix(h + U(77))[order], first)
-            out.append(T.mix(x ^ (ps[first] * U(0x9E3779B97F4A7C15)) ^ T.mix(tag * U(31) + U(again) + np.zeros(1, U))))
+            out.append(T.mix(x ^ (ps[first] * U(0x9E3779B97F4A7C15)) ^ T.mix(tag * U(31) + U(again * 10_007) + np.zeros(1, U))))
             if p - len(first) <= empty:
                 break
         else:
@@ -87,73 +91,174 @@ def signatures(codes: np.ndarray, band: np.ndarray, num: int, den: int, seed: in
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
-def sets(arr: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The distinct codes of the k-word shingles of each text, lower-cased; a shorter text is one shingle of its own."""
+def flat_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of the k-word shingles of all texts of a slice, ordered by text and code, and where each text's
+    begin (and the end). Words are lower-cased; a text of fewer than k words is one shingle of its own."""
     w = T.Words(arr, lower=True)
-    g = w.grams(k)
-    f1, _ = w.fingerprints()
-    for i, (a, b) in enumerate(w.texts()):
-        if b - a >= k:
-            yield np.unique(g[a : b - k + 1])
-        elif b > a:
-            yield T.mix(f1[i : i + 1] + U(b - a))
-        else:
-            yield np.zeros(0, U)
+    n_docs = len(w.n)
+    count = np.where(w.n >= k, w.n - k + 1, 0)
+    doc = np.repeat(np.arange(n_docs), count)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
+    code = w.grams(k)[at] if len(at) else np.zeros(0, U)
+    short = np.flatnonzero((w.n > 0) & (w.n < k))
+    if len(short):
+        f1, _ = w.fingerprints()
+        code, doc = np.append(code, T.mix(f1[short] + w.n[short].astype(U))), np.append(doc, short)
+    order = np.argsort(code)
+    code, doc = code[order], doc[order]
+    order = np.argsort(doc.astype(np.uint16 if n_docs < 65536 else np.int64), kind="stable")
+    code, doc = code[order], doc[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    code, doc = code[new], doc[new]
+    return code, np.searchsorted(doc, np.arange(n_docs + 1))
+
+
+def flat_signatures(code: np.ndarray, off: np.ndarray, band: np.ndarray, num: int, den: int, seed: int) -> list[np.ndarray]:
+    """signatures() of every set of a slice, in one pass; sets with too many empty chunks are dealt again one by one."""
+    n = np.diff(off)
+    own = np.searchsorted(band, n, "right") - 1
+    out: list[list[np.ndarray]] = [[] for _ in n]
+    again = np.zeros(len(n), bool)
+    for back in (0, 1):
+        k = own - back
+        last = (band[np.maximum(k, 0) + 1] - 1) * den // num
+        docs = np.flatnonzero((n > 0) & (k >= 0) & ((back == 0) | (last >= n)))
+        if not len(docs):
+            continue
+        kinds = {int(x): chunks(band, int(x), num, den) for x in np.unique(k[docs])}
+        p = np.array([kinds[int(x)][0] for x in k[docs]], np.int64)
+        empty = np.array([kinds[int(x)][1] for x in k[docs]], np.int64)
+        tag = k[docs].astype(U) * U(1_000_003) + U(seed * 7919)
+        rows = np.repeat(np.arange(len(docs)), n[docs])
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(n[docs]) - n[docs], n[docs]) + np.repeat(off[docs], n[docs])
+        h = T.mix(code[at] + U(0x51ED270B) + tag[rows])
+        part = (((h >> U(32)) * p.astype(U)[rows]) >> U(32)).astype(np.int64)
+        slot = part + (np.cumsum(p) - p)[rows]
+        order = np.argsort(slot)
+        ss = slot[order]
+        first = np.flatnonzero(np.append(True, ss[1:] != ss[:-1]))
+        x = np.bitwise_xor.reduceat(T.mix(h + U(77))[order], first)
+        sd, sp = rows[order[first]], part[order[first]]
+        sig = T.mix(x ^ (sp.astype(U) * U(0x9E3779B97F4A7C15)) ^ T.mix(tag * U(31))[sd])
+        bounds = np.searchsorted(sd, np.arange(len(docs) + 1))
+        again[docs[p - np.diff(bounds) > empty]] = True
+        for i, d in enumerate(docs.tolist()):
+            out[d].append(sig[bounds[i] : bounds[i + 1]])
+    for d in np.flatnonzero(again).tolist():
+        out[d] = [signatures(code[off[d] : off[d + 1]], band, num, den, seed)]
+    return [np.concatenate(x) if x else np.zeros(0, U) for x in out]
 
 
-def _sketch(batches, k: int, num: int, den: int, seed: int, sign: bool):
+def sets(arr: pa.Array, k: int) -> Iterator[np.ndarray]:
+    code, off = flat_sets(arr, k)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        yield code[a:b]
+
+
+def parity(code: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(sets, WORDS): a bit for each value of the codes' hash, set where an odd number of codes has it."""
+    n = len(off) - 1
+    h = T.mix(code + U(0xA5A5))
+    bit = (np.repeat(np.arange(n), np.diff(off)) * (64 * WORDS) + (h & U(64 * WORDS - 1)).astype(np.int64))
+    odd = (np.bincount(bit, minlength=n * 64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, WORDS)
+
+
+def _sketch(batches, k: int, num: int, den: int, seed: int):
     band = bands(num, den, 1 << 40)
     for b in T.pieces(batches):
-        n, f1, f2, sigs = [], [], [], []
-        for s in sets(T.col(b, "text"), k):
-            n.append(len(s))
-            f1.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
-            f2.append(int(np.add.reduce(T.mix(s), dtype=U)) if len(s) else 0)
-            sigs.append(signatures(s, band, num, den, seed) if sign and len(s) else np.zeros(0, U))
-        yield pa.record_batch([T.ints(T.ids(b)), pa.array(n, pa.int64()), T.ints(np.array(f1, U)), T.ints(np.array(f2, U)), T.longs(sigs)], ["doc_id", "n", "f1", "f2", "keys"])
+        code, off = flat_sets(T.col(b, "text"), k)
+        n = np.diff(off)
+        pad = np.append(code, U(0))
+        some = n > 0
+        f1 = np.where(some, np.bitwise_xor.reduceat(pad, off[:-1]), U(0))
+        f2 = np.where(some, np.add.reduceat(T.mix(pad), off[:-1]), U(0))
+        bits = parity(code, off)
+        yield pa.record_batch(
+            [T.ints(T.ids(b)), pa.array(n), T.ints(f1), T.ints(f2), T.longs(flat_signatures(code, off, band, num, den, seed)), T.longs(list(bits))],
+            ["doc_id", "n", "f1", "f2", "keys", "bits"],
+        )
 
 
-_SKETCH = "doc_id long, n long, f1 long, f2 long, keys array<long>"
+_SKETCH = "doc_id long, n long, f1 long, f2 long, keys array<long>, bits array<long>"
 
 
-def _candidates(batches, most: int | None, spread: int):
-    """From rows (key, doc_id, comp) ordered by key: links to test (0, a, b), and rows of large groups (1, key, doc_id)."""
+def _candidates(batches, most: int):
+    """From rows (key, doc_id) ordered by key: pairs of small groups (0, a, b), and rows of large groups (1, key, doc_id)."""
     for t, first in runs(batches, ["key"]):
-        docs, comp, key = t.column("doc_id").to_numpy(), t.column("comp").to_numpy(), t.column("key").to_numpy()
-        kind, x, y = [], [], []
+        docs, key = t.column("doc_id").to_numpy(), t.column("key").to_numpy()
         size = np.diff(first)
-        two = first[:-1][size == 2]
-        two = two[comp[two] != comp[two + 1]]
-        kind.append(np.zeros(len(two), np.int32))
-        x.append(docs[two])
-        y.append(docs[two + 1])
-        for i in np.flatnonzero(size > 2):
-            a, b = first[i], first[i + 1]
-            d, c = docs[a:b], comp[a:b]
-            if (c == c[0]).all():
-                continue
-            if most is None or len(d) <= most:
-                p, q = _between(c)
-                kind.append(np.zeros(len(p), np.int32))
-                x.append(d[p])
-                y.append(d[q])
-                continue
-            hub = int(np.argmin(T.mix(d.view(U) + U(spread))))
-            rest = np.flatnonzero(c != c[hub])
-            kind += [np.zeros(len(rest), np.int32), np.ones(len(d), np.int32)]
-            x += [np.full(len(rest), d[hub]), key[a:b]]
-            y += [d[rest], d]
+        kind, x, y = [], [], []
+        for m in range(2, most + 1):
+            at = first[:-1][size == m]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    x.append(docs[at + i])
+                    y.append(docs[at + j])
+                    kind.append(np.zeros(len(at), np.int32))
+        large = np.flatnonzero(np.repeat(size > most, size))
+        kind.append(np.ones(len(large), np.int32))
+        x.append(key[large])
+        y.append(docs[large])
         yield pa.record_batch([pa.array(np.concatenate(kind)), pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["kind", "x", "y"])
 
 
-def _between(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with different components, each once."""
-    p, q = [], []
-    for i in range(len(c) - 1):
-        j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-        p.append(np.full(len(j), i))
-        q.append(j)
-    return np.concatenate(p), np.concatenate(q)
+def _may_link(bits, n, i, js, num: int, den: int) -> np.ndarray:
+    """Which of the sets js set i may link with, by size and Hamming distance."""
+    away = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
+    return (away * (den + num) <= (n[js] + n[i]) * (den - num)) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)
+
+
+def _group_arrays(t: pa.Table, a: int, z: int):
+    docs, n = t.column("doc_id").to_numpy()[a:z], t.column("n").to_numpy()[a:z]
+    values, _ = T.list_at(t.column("bits").combine_chunks().slice(a, z - a))
+    return docs, n, values.view(U).reshape(z - a, WORDS)
+
+
+def _cover(batches, num: int, den: int):
+    """From large groups (key, doc_id, n, bits): pairs that hold each group together as far as sketches tell. One member
+    after the other that no hub covers becomes a hub; it is paired with the members it newly covers, and with one member of
+    each earlier hub's."""
+    for t, first in runs(batches, ["key"]):
+        x, y = [], []
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            docs, n, bits = _group_arrays(t, a, z)
+            order = np.argsort(T.mix(docs.view(U)))
+            docs, n, bits = docs[order], n[order], bits[order]
+            of = np.full(len(docs), -1)
+            for i in range(len(docs)):
+                if of[i] >= 0:
+                    continue
+                ok = _may_link(bits, n, i, slice(None), num, den)
+                ok[i] = False
+                new = np.flatnonzero(ok & (of < 0))
+                old = np.flatnonzero(ok & (of >= 0))
+                old = old[np.unique(of[old], return_index=True)[1]]
+                js = np.append(new, old)
+                x.append(np.full(len(js), docs[i]))
+                y.append(docs[js])
+                of[i] = of[new] = i
+        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(cat(x)), pa.array(cat(y))], ["x", "y"])
+
+
+def _between(batches, num: int, den: int):
+    """From groups (key, doc_id, comp, n, bits): the pairs of different components that may link."""
+    for t, first in runs(batches, ["key"]):
+        comps, x, y = t.column("comp").to_numpy(), [], []
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            docs, n, bits = _group_arrays(t, a, z)
+            c = comps[a:z]
+            # members of the largest component never meet each other
+            kinds, inverse, count = np.unique(c, return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(inverse != count.argmax()).tolist():
+                js = np.flatnonzero((inverse == count.argmax()) | ((inverse != inverse[i]) & (np.arange(len(c)) > i)))
+                js = js[_may_link(bits, n, i, js, num, den)]
+                x.append(np.full(len(js), docs[i]))
+                y.append(docs[js])
+        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(cat(x)), pa.array(cat(y))], ["x", "y"])
 
 
 def _verify(batches, k: int, num: int, den: int):
@@ -175,9 +280,20 @@ def _verify(batches, k: int, num: int, den: int):
         yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _near(pairs: DataFrame, sk: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sizes and by the Hamming distance of their sketches."""
+    s = sk.select("doc_id", "n", "bits")
+    p = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    p = p.join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    away = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(1, WORDS)), F.bit_count(F.get("ba", F.lit(0)).bitwiseXOR(F.get("bb", F.lit(0)))))
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return p.filter(sizes & (away * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b").distinct()
+
+
 def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, st: Stages) -> DataFrame:
     """The pairs (a, b) that link. Every text goes once to each hub that it is to be compared with; a hub with many guests
     is dealt over parts."""
+    pairs = st.save(pairs)
     # the more frequent end of a pair is its hub
     deg = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     p = pairs.join(deg.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(deg.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
@@ -192,7 +308,7 @@ def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, st: S
     return st.save(sent.mapInArrow(partial(_verify, k=k, num=num, den=den), "a long, b long"))
 
 
-def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, groups=GROUPS) -> DataFrame:
+def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, most: int = PAIRED) -> DataFrame:
     """Connected components of the links |A & B| / |A | B| >= num / den between the sets of k-word shingles.
 
     docs: doc_id, text; other columns are ignored. Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. A text of fewer
@@ -206,33 +322,33 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     st = Stages(spark, "ngrams")
     texts = docs.select(id_in().alias("doc_id"), "text")
-    sk = st.save(texts.mapInArrow(partial(_sketch, k=k, num=num, den=den, seed=0, sign=True), _SKETCH))
+    sk = st.save(texts.mapInArrow(partial(_sketch, k=k, num=num, den=den, seed=0), _SKETCH))
     cls = st.save(classes(sk.filter("n > 0"), "n", "f1", "f2"))
     reps = cls.filter("doc_id = rep").select("doc_id")
-    keys = sk.select("doc_id", "keys").join(reps, "doc_id").select(F.explode("keys").alias("key"), "doc_id", F.col("doc_id").alias("comp"))
-    links = None
-    comp = None
-    for level, most in enumerate(groups):
-        rows = keys.repartition("key").sortWithinPartitions("key", "doc_id")
-        out = st.save(rows.mapInArrow(partial(_candidates, most=most, spread=level), "kind int, x long, y long"))
-        pairs = out.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = _links(texts, pairs, k, num, den, st)
-        if links is not None:
-            found = links.unionByName(found)
-        links = found
-        comp = st.save(components(links, st))
-        large = out.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id"))
-        if most is None:
-            break
-        named = large.join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        left = st.save(named.join(split, "key").select("doc_id", "comp").distinct())
-        st.drop(out)
-        if left.isEmpty():
-            break
-        again = texts.join(left, "doc_id")
-        new = again.select("doc_id", "text").mapInArrow(partial(_sketch, k=k, num=num, den=den, seed=level + 1, sign=True), _SKETCH)
-        keys = new.select("doc_id", "keys").join(left, "doc_id").select(F.explode("keys").alias("key"), "doc_id", "comp")
+    keys = sk.select("doc_id", "keys").join(reps, "doc_id").select(F.explode("keys").alias("key"), "doc_id")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+    pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    prints = sk.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+    out = st.save(by_key(keys).mapInArrow(partial(_candidates, most=most), "kind int, x long, y long"))
+    large = out.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct()
+    large = st.save(large.join(prints, "doc_id").select("key", "doc_id", "n", "bits"))
+    spread = by_key(large).mapInArrow(partial(_cover, num=num, den=den), "x long, y long")
+    links = _links(texts, _near(pair(out.filter("kind = 0")), prints, num, den).unionByName(pair(spread)).distinct(), k, num, den, st)
+    st.drop(out)
+    # members of large groups that the links do not yet hold together; a document's smallest partner, and that partner's
+    # own, stand for its component
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    named = ends.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("low")).select("doc_id", F.least("doc_id", "low").alias("comp"))
+    for _ in range(2):
+        up = named.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up"))
+        named = named.join(up, "comp", "left").select("doc_id", F.coalesce("up", "comp").alias("comp"))
+    named = st.save(named)
+    large = large.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n", "bits")
+    split = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    more = st.save(pair(by_key(large.join(split, "key")).mapInArrow(partial(_between, num=num, den=den), "x long, y long")))
+    if not more.isEmpty():
+        links = links.unionByName(_links(texts, more, k, num, den, st))
+    comp = st.save(components(links, st))
     whole = cls.join(comp.select(F.col("v").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     # ids whose texts have no shingles are not in cls
     res = sk.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
