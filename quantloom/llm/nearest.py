@@ -129,6 +129,19 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def _exact(approx: np.ndarray, query: np.ndarray, cands: np.ndarray, ids: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """_top() by row-wise sums, which give equal vectors equal scores wherever they stand; approx, from a matrix product,
+    may differ by its place in the block and only preselects, with a margin above its error."""
+    near = np.flatnonzero(np.isfinite(approx))
+    if len(near) > k:
+        margin = 4 * len(query) * np.finfo(float).eps * float(np.linalg.norm(query)) * longest
+        kth = np.partition(approx[near], len(near) - k)[len(near) - k]
+        near = near[approx[near] >= kth - margin]
+    score = (cands[near] * query).sum(axis=1)
+    best = _top(score, ids[near], k)
+    return near[best], score[best]
+
+
 def _scan(batches, queries: np.ndarray, own: np.ndarray, k: int):
     """The best of each batch for a few queries."""
     for b in batches:
@@ -161,8 +174,9 @@ def _windows(batches, width: int, k: int):
             if not ranks:
                 continue
             if mat is None:
-                mat = np.concatenate(ranks), np.concatenate(ids), np.concatenate(vecs)
-            cr, ci, cv = mat
+                cv = np.concatenate(vecs)
+                mat = np.concatenate(ranks), np.concatenate(ids), cv, float(np.linalg.norm(cv, axis=1).max())
+            cr, ci, cv, norms = mat
             for lo in range(a, z, 256):
                 hi = min(z, lo + 256)
                 s = v[lo:hi] @ cv.T
@@ -170,10 +184,10 @@ def _windows(batches, width: int, k: int):
                 s[vid[lo:hi, None] == ci[None, :]] = -np.inf
                 q_out, i_out, s_out = [], [], []
                 for j in range(hi - lo):
-                    best = _top(s[j], ci, k)
+                    best, score = _exact(s[j], v[lo + j], cv, ci, k, norms)
                     q_out.append(np.full(len(best), vid[lo + j]))
                     i_out.append(ci[best])
-                    s_out.append(s[j][best])
+                    s_out.append(score)
                 yield pa.record_batch([pa.array(np.concatenate(q_out)), pa.array(np.concatenate(i_out)), pa.array(np.concatenate(s_out))], ["query_id", "vec_id", "score"])
 
 
@@ -254,4 +268,4 @@ def _width(st: Stages, cand: DataFrame, queries: DataFrame, ranked: DataFrame, k
     b = places.filter("not query").join(F.broadcast(true), "vec_id").select("r", "query_id", "vec_id", F.col("rank").alias("cr"))
     gap = a.join(b, ["r", "query_id"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("qr") - F.col("cr"))).alias("gap"))
     got = gap.agg(F.percentile("gap", recall).alias("w")).first()["w"]
-    return int(got or 0) + 1
+    return max(int(got or 0) + 1, k)  # k places a side hold k candidates, if there are as many

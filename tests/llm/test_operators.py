@@ -151,6 +151,8 @@ def test_nearest(spark):
         best = np.lexsort((np.arange(300), -s.round(12)))[:5]
         mine = r[r.query_id == q].sort_values("rank")
         assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(mine.score, s[mine.vec_id])
+        assert mine.sort_values(["score", "vec_id"], ascending=[False, True])["rank"].tolist() == [1, 2, 3, 4, 5]
+        assert set(mine.vec_id) & set(range(50, 120)) <= set(range(50, 57))  # of equal vectors, the smallest ids
         hit += len(set(best) & set(mine.vec_id))
     assert hit >= 0.9 * 75
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
