@@ -335,20 +335,16 @@ def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5,
     spread = by_key(large).mapInArrow(partial(_cover, num=num, den=den), "x long, y long")
     links = _links(texts, _near(pair(out.filter("kind = 0")), prints, num, den).unionByName(pair(spread)).distinct(), k, num, den, st)
     st.drop(out)
-    # members of large groups that the links do not yet hold together; a document's smallest partner, and that partner's
-    # own, stand for its component
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = ends.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("low")).select("doc_id", F.least("doc_id", "low").alias("comp"))
-    for _ in range(2):
-        up = named.select(F.col("doc_id").alias("comp"), F.col("comp").alias("up"))
-        named = named.join(up, "comp", "left").select("doc_id", F.coalesce("up", "comp").alias("comp"))
-    named = st.save(named)
+    # members of large groups that the links do not yet hold together
+    comp = st.save(components(links, st))
+    named = comp.select(F.col("v").alias("doc_id"), F.col("component").alias("comp"))
     large = large.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n", "bits")
     split = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     more = st.save(pair(by_key(large.join(split, "key")).mapInArrow(partial(_between, num=num, den=den), "x long, y long")))
     if not more.isEmpty():
-        links = links.unionByName(_links(texts, more, k, num, den, st))
-    comp = st.save(components(links, st))
+        # the components so far are links enough, each member with its smallest
+        so_far = comp.select(F.col("v").alias("a"), F.col("component").alias("b"))
+        comp = st.save(components(so_far.unionByName(_links(texts, more, k, num, den, st)), st))
     whole = cls.join(comp.select(F.col("v").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     # ids whose texts have no shingles are not in cls
     res = sk.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
