@@ -2,8 +2,8 @@
 
 Counts that are natural to a text are turned into ratios. A KLL sketch of each ratio is built for each language and source
 (mergeable: partial sketches of tasks, and later batches, combine). A group's upper limit is its upper quantile plus
-`reach` times the distance from its median, and not below `floor`; a small group borrows the sketch of its language, merged
-from its sources. The limits, a row for each group, are then joined to the documents.
+`reach` times its spread, the distance from its median; a group without a spread counts as having a small one. A small group
+borrows the sketch of its language, merged from its sources. The limits, a row for each group, are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from ._common import Stages, id_in, join_small
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject above q(upper) + reach * (q(upper) - q(0.5)), at least floor."""
+    """Reject above q(upper) + reach * max(q(upper) - q(0.5), spread)."""
 
     name: str
-    floor: float
+    spread: float
     upper: float = 0.9
     reach: float = 3.0
 
 
-#: floor: what a clean text may always have.
-RULES = (Rule("mean_word", 12.0), Rule("symbol_ratio", 0.15), Rule("dup_line_ratio", 0.5), Rule("repeat_ratio", 0.5))
+#: spread: what clean texts of a like kind may differ by; it counts where a group's own is smaller.
+RULES = (Rule("mean_word", 0.5), Rule("symbol_ratio", 0.05), Rule("dup_line_ratio", 0.1), Rule("repeat_ratio", 0.1))
 #: Rows a group needs before its own sketch sets its limits.
 LEAST_ROWS = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -92,7 +92,7 @@ def limits(measured: DataFrame, rules=RULES, least_rows: int = LEAST_ROWS) -> Da
         k = F.when(F.col("__n") >= least_rows, F.col(f"__k_{r.name}")).otherwise(F.col(f"__m_{r.name}"))
         hi = F.kll_sketch_get_quantile_double(k, F.lit(r.upper))
         mid = F.kll_sketch_get_quantile_double(k, F.lit(0.5))
-        out.append(F.greatest(F.lit(r.floor), hi + F.lit(r.reach) * (hi - mid)).alias(f"max_{r.name}"))
+        out.append((hi + F.lit(r.reach) * F.greatest(hi - mid, F.lit(r.spread))).alias(f"max_{r.name}"))
     return both.select(*out)
 
 

@@ -138,6 +138,26 @@ def test_quality(docs, nothing):
     assert quality.quality_rules(nothing).count() == 0
 
 
+def test_quality_limits_are_the_groups_own(spark):
+    """The same texts, among plain ones and among texts full of symbols, long words and repeats."""
+    rng = np.random.default_rng(2)
+    plain = lambda: [f"w{x:04d}" for x in rng.integers(0, 10_000, 100)]
+    symbols = lambda n: " ".join(w + "#" * n for w in plain())
+    long = lambda n: " ".join(w + "x" * n for w in plain())
+    repeats = lambda n: " ".join((w := plain())[: 100 - n] + w[:n])
+    probes = [symbols(1), long(5), repeats(21)]
+    data = [(i, " ".join(plain()), "en", "plain") for i in range(220)]
+    data += [(1000 + i, (symbols(i // 3 % 3), long(i // 3 % 12), repeats(i // 3 % 24))[i % 3], "en", "odd") for i in range(330)]
+    data += [(5000 + 10 * j + i, x, "en", s) for j, s in enumerate(("plain", "odd")) for i, x in enumerate(probes)]
+    r = quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert not r.base_failed.any()
+    assert not r.kept[[5000, 5001, 5002]].any() and r.kept[[5010, 5011, 5012]].all()
+    assert r.kept[list(range(220))].all()
+    # each rule alone decides: the repeat rule is within what the base rules pass
+    for i, rule in enumerate(("symbol_ratio", "mean_word", "repeat_ratio")):
+        assert r[rule][5000 + i] > r[f"max_{rule}"][5000 + i], rule
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((300, 16)) * rng.uniform(0.5, 2, (300, 1))
