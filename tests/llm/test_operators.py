@@ -243,6 +243,29 @@ def test_licenses(spark, docs, nothing):
     assert licenses.license_scan(licenses.document_files(nothing)).count() == 0
 
 
+LICENSED = {
+    "MIT": ["MIT License", "Distributed under the MIT License.", "This project is licensed under the MIT License.", "You may use this package under the MIT licence.", "# SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify"],
+    "GPL": ["GNU GENERAL PUBLIC LICENSE", "it under the terms of the GNU General Public License as published by"],
+    "GPL-3.0": ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["Distributed under the terms of the GNU General Public License v2."],
+    "LGPL-2.1": ["You can use it under the GNU Lesser General Public License, version 2.1."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"],
+    None: ["The driver lost his license in the harbour.", "A copyright was discussed at length by the council.", "She met a graduate of MIT with a licence to teach chemistry in several schools of the large northern district.", "Permission to enter the garden is given at noon."],
+}
+
+
+@pytest.mark.parametrize("plain", [0, 3000])
+def test_license_phrases(spark, plain):
+    """Phrases that are no templates, alone and among many texts."""
+    want = [(x, k) for k, v in LICENSED.items() for x in v]
+    files = [(i, x) for i, (x, _) in enumerate(want)] + [(1000 + i, "only prose here") for i in range(plain)]
+    got = {r["file_id"]: r["license"] for r in licenses.detect(spark.createDataFrame(files, "file_id long, text string")).collect()}
+    assert {x: got.get(i) for i, (x, _) in enumerate(want)} == dict(want)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
