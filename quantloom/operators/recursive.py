@@ -69,27 +69,71 @@ def ewma_variance(panel: DataFrame, lam: float = 0.94, warmup: int = 50) -> Data
 
 
 def _wide(p: pd.DataFrame) -> pd.DataFrame:
-    return np.log(p.pivot_table(index="bar_idx", columns="symbol", values="close").sort_index()).diff()
-
-
-def pca_signals(panel: DataFrame, n: int = 48, k: int = 3, refit: int = 12) -> DataFrame:
-    """Loading on the first component, and the residual after k, of trailing refits; the largest loading is positive.
-    One group: the returns matrix of all symbols, bars x symbols."""
+    """Log returns, bars x symbols; NaN where either close is missing."""
+    close = p.groupby(["bar_idx", "symbol"])["close"].mean().unstack("symbol").sort_index()
+    return np.log(close.where(close > 0)).diff()
+
+
+def _across(x: pd.DataFrame) -> pd.DataFrame:
+    """Standardised across symbols."""
+    sd = x.std(axis=1)
+    return x.sub(x.mean(axis=1), axis=0).div(sd.where(sd > 1e-12), axis=0)
+
+
+def _components(w: np.ndarray) -> np.ndarray | None:
+    """Principal directions of a window, the largest loading of each positive; None where there are none."""
+    try:
+        v = np.linalg.svd(w - w.mean(0), full_matrices=False)[2]
+    except np.linalg.LinAlgError:
+        return None
+    return v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+
+
+def pca_scores(returns: pd.DataFrame, n: int = 48, k: int = 3, refit: int = 12, lookback: int = 24) -> dict[str, pd.DataFrame]:
+    """What pca_signals returns, as frames of bars x symbols. Components are fitted on the n bars before a refit and hold
+    until the next one."""
+    r = returns.fillna(0.0)
+    x = r.to_numpy()
+    loading, residual, last = (np.full(x.shape, np.nan) for _ in range(3))
+    for t in range(n, len(x), refit):
+        if (v := _components(x[t - n : t])) is None:
+            continue
+        now = slice(t, min(t + refit, len(x)))
+        flat = x[now] - x[now].mean(axis=1, keepdims=True)
+        loading[now] = v[0]
+        residual[now] = flat - flat @ v[:k].T @ v[:k]
+    step = max(1, lookback // 8)
+    for t in range(lookback, len(x), step):
+        w = x[t - lookback : t]
+        v = _components(w)
+        end = w[-1] - w.mean(0)
+        last[t : t + step] = 0.0 if v is None else end @ v[:k].T @ v[:k] - end
+    frame = lambda a: pd.DataFrame(a, r.index, r.columns)
+    cum = frame(residual).cumsum()
+    return {
+        "loading": frame(loading),
+        "residual": frame(residual),
+        "R12": -_across(cum - cum.rolling(n // 2, min_periods=n // 4).mean()),
+        "R19": -_across(frame(loading)),
+        "f_xcoin_pca_residual": _across(frame(last).where(returns.notna())),
+    }
+
+
+def pca_signals(panel: DataFrame, n: int = 48, k: int = 3, refit: int = 12, lookback: int = 24) -> DataFrame:
+    """The signals that need principal components, at all bars of the grid (null before the first refit): loading on the
+    first component and residual of the market-neutral return after k; R12, the cumulated residual against its mean, and
+    R19, the loading, both faded and standardised across symbols; f_xcoin_pca_residual, the residual of the last bar of
+    windows of `lookback` bars, refitted every eighth of it, for symbols that trade.
+
+    The sign of a component is free; here its largest loading is positive. One group: the returns matrix of all symbols,
+    bars x symbols."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = _wide(p).fillna(0.0)
-        out = []
-        for t in range(n, len(x), refit):
-            w = x.iloc[t - n : t].to_numpy()
-            mu = w.mean(0)
-            v = np.linalg.svd(w - mu, full_matrices=False)[2][:k]
-            v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
-            now = x.iloc[t].to_numpy() - mu
-            out.append(pd.DataFrame({"symbol": x.columns, "bar_idx": x.index[t], "loading": np.round(v[0], 8), "residual": np.round(now - now @ v.T @ v, 8)}))
-        return pd.concat(out) if out else pd.DataFrame({"symbol": [], "bar_idx": [], "loading": [], "residual": []})
-
-    one = panel.select("symbol", "bar_idx", "close").filter("close IS NOT NULL").withColumn("g", F.lit(0))
-    return one.groupBy("g").applyInPandas(run, "symbol string, bar_idx long, loading double, residual double")
+        out = {c: x.round(8 if c in ("loading", "residual") else 5).stack(future_stack=True) for c, x in pca_scores(_wide(p), n, k, refit, lookback).items()}
+        return pd.DataFrame(out).reset_index()[["symbol", "bar_idx", *out]]
+
+    one = panel.select("symbol", "bar_idx", "close").withColumn("g", F.lit(0))
+    return one.groupBy("g").applyInPandas(run, "symbol string, bar_idx long, loading double, residual double, R12 double, R19 double, f_xcoin_pca_residual double")
 
 
 def spectral_entropy(panel: DataFrame, n: int = 64) -> DataFrame:

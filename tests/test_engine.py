@@ -73,3 +73,43 @@ def test_scores_do_not_look_ahead(spark):
     whole = plan.apply(p).filter("bar_idx <= 200").toPandas().set_index(["symbol", "bar_idx"]).sort_index()
     part = plan.apply(p.filter(F.col("bar_idx") <= 200)).toPandas().set_index(["symbol", "bar_idx"]).sort_index()
     np.testing.assert_allclose(whole.astype(float), part.astype(float), atol=1e-9)
+
+
+def test_pca_signals_at_every_bar(spark):
+    """Against the formulas written out bar by bar, with refits that hold until the next one."""
+    rng = np.random.default_rng(4)
+    bars, names = 75, [f"s{i}" for i in range(6)]
+    close = pd.DataFrame(np.exp(np.cumsum(rng.standard_normal((bars, 6)) * 0.05 + rng.standard_normal((bars, 1)) * 0.05, 0)), columns=names)
+    close.iloc[30, 2] = np.nan
+    grid = spark.createDataFrame([(c, t, None if np.isnan(close[c][t]) else float(close[c][t])) for t in range(bars) for c in names], "symbol string, bar_idx long, close double")
+    got = recursive.pca_signals(grid, n=16, k=2, refit=5, lookback=16).toPandas()
+    assert len(got) == bars * 6
+    lr = np.log(close).diff()
+    x = lr.fillna(0.0).to_numpy()
+    z = lambda a: (a - np.nanmean(a)) / np.nanstd(a, ddof=1)
+    res, load = [], []
+    for t in range(16, bars):
+        at = 16 + (t - 16) // 5 * 5
+        w = x[at - 16 : at]
+        v = np.linalg.eigh(np.cov(w.T))[1][:, ::-1].T[:2]
+        flat = x[t] - x[t].mean()
+        res.append(flat - v.T @ (v @ flat))
+        load.append(v[0] * np.sign(v[0][np.abs(v[0]).argmax()]))
+    cum = np.cumsum(res, axis=0)
+    for t in range(bars):
+        mine = got[got.bar_idx == t].set_index("symbol").loc[names]
+        i = t - 16
+        if i < 0:
+            assert mine[["loading", "residual", "R12", "R19"]].isna().all(axis=None)
+            continue
+        np.testing.assert_allclose(mine.residual, res[i], atol=1e-7)
+        np.testing.assert_allclose(mine.R19, -z(load[i]), atol=2e-5)
+        if i >= 3:
+            np.testing.assert_allclose(mine.R12, -z(cum[i] - cum[max(0, i - 7) : i + 1].mean(0)), atol=2e-5)
+        else:
+            assert mine.R12.isna().all()
+        at = t - i % 2
+        w = x[at - 16 : at]
+        v = np.linalg.eigh(np.cov(w.T))[1][:, ::-1].T[:2]
+        end = w[-1] - w.mean(0)
+        np.testing.assert_allclose(mine.f_xcoin_pca_residual, z(np.where(lr.iloc[t].isna(), np.nan, v.T @ (v @ end) - end)), atol=2e-5)
