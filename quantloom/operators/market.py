@@ -85,6 +85,8 @@ _Q: dict[str, str] = {
         (SELECT symbol, adv, sd, CASE WHEN adv >= 1000000 THEN 1 WHEN adv >= 100000 THEN 2 ELSE 3 END AS tier, CASE WHEN adv >= 1000000 THEN 0.4 WHEN adv >= 100000 THEN 1.2 ELSE 4.0 END AS half_spread FROM (SELECT symbol, avg(quote_volume) AS adv, stddev_samp(r) AS sd FROM {ret} x GROUP BY symbol) y) z""",
     "net_orders": """SELECT symbol, round(target - current, 6) AS delta, CASE WHEN current = 0 THEN 'open' WHEN target = 0 THEN 'close' WHEN target * current < 0 THEN 'flip' ELSE 'resize' END AS kind FROM (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.w, 0) AS target, coalesce(b.w, 0) AS current
         FROM (SELECT symbol, w FROM {book} b0 WHERE bar_idx = 200) a FULL OUTER JOIN (SELECT symbol, w FROM {book} b1 WHERE bar_idx = 199) b ON a.symbol = b.symbol) x WHERE abs(target - current) > 0.0001""",
+    "net_orders_by_bar": """SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, round(target - current, 6) AS delta, CASE WHEN current = 0 THEN 'open' WHEN target = 0 THEN 'close' WHEN target * current < 0 THEN 'flip' ELSE 'resize' END AS kind FROM (SELECT symbol, bar_idx, target, coalesce(lag(target, 1) OVER (PARTITION BY symbol ORDER BY bar_idx), 0) AS current
+        FROM (SELECT p.symbol, p.bar_idx, coalesce(b.w, 0) AS target FROM {panel} p LEFT JOIN {book} b ON b.symbol = p.symbol AND b.bar_idx = p.bar_idx) x) y WHERE abs(target - current) > 0.0001""",
     "eligible_universe": """SELECT symbol, bar_idx FROM (SELECT symbol, bar_idx, avg(quote_volume) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS adv, count(close) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) AS listed FROM {panel} p) x WHERE adv >= 500000 AND listed >= 30""",
     "hourly_flow": """SELECT symbol, CAST(bar AS STRING) AS bar, round(sum(CASE WHEN side < 0 THEN nz ELSE 0 END), 4) AS sold, round(sum(CASE WHEN side > 0 THEN nz ELSE 0 END), 4) AS bought, round(sum(side * nz) / nullif(sum(nz), 0), 6) AS imbalance FROM {tape} t GROUP BY symbol, bar""",
 }

@@ -113,3 +113,16 @@ def test_pca_signals_at_every_bar(spark):
         v = np.linalg.eigh(np.cov(w.T))[1][:, ::-1].T[:2]
         end = w[-1] - w.mean(0)
         np.testing.assert_allclose(mine.f_xcoin_pca_residual, z(np.where(lr.iloc[t].isna(), np.nan, v.T @ (v @ end) - end)), atol=2e-5)
+
+
+def test_net_orders_of_every_bar(spark, duck):
+    got = queries.queries()["net_orders_by_bar"](spark, DATA).toPandas()
+    same(got, duck.execute(queries.oracle_sql()["net_orders_by_bar"]).df())
+    same(got[got.bar_idx == 200].drop(columns="bar_idx"), queries.queries()["net_orders"](spark, DATA).toPandas())
+    book = queries.queries()["quantile_book"](spark, DATA).toPandas()
+    w = book.pivot(index="bar_idx", columns="symbol", values="w").reindex(range(book.bar_idx.min(), book.bar_idx.max() + 1)).fillna(0.0)
+    moves = (w - w.shift(1, fill_value=0.0)).stack()
+    moves = moves[moves.abs() > 1.1e-4]
+    mine = got.set_index(["bar_idx", "symbol"]).delta
+    assert len(got) > len(got[got.bar_idx == 200]) and set(moves.index) <= set(mine.index)
+    np.testing.assert_allclose(mine.loc[moves.index], moves, atol=3e-6)
