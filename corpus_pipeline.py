@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import mixing, ngram_join, packing, quality, substring_dedup
@@ -16,11 +16,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(bad, (id_in() == F.col("__id")) & (quality.row_hash() == F.col("__hash")), "left_anti")
 
 
+def row_key() -> Column:
+    """Tells rows apart that have no doc_id or share one; equal rows have equal keys."""
+    columns = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source")]
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    groups = ngram_join.ngram_components(docs, k=5, num=4, den=5)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    return docs.join(keep, id_in() == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """The row of smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); rows without a
+    doc_id come last, and those that share one are judged each by its own text. Of equal rows one stays."""
+    st = Stages(spark, "near")
+    rows = docs.withColumn("__key", row_key())
+    groups = st.save(ngram_join.ngram_components(rows.select(F.col("__key").alias("doc_id"), "text"), k=5, num=4, den=5).select(F.col("doc_id").alias("__k"), "component_id"))
+    members = rows.select("__key", "doc_id").join(groups, F.col("__key") == F.col("__k"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__key").alias("key")))
+    keep = st.save(members.groupBy("component_id").agg(first.alias("b")).select(F.col("b.key").alias("__k")))
+    return rows.join(keep, F.col("__key") == F.col("__k"), "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

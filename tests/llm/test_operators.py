@@ -266,6 +266,21 @@ def test_license_phrases(spark, plain):
     assert {x: got.get(i) for i, (x, _) in enumerate(want)} == dict(want)
 
 
+def test_near_duplicates_without_ids(spark):
+    """No text is lost, whether its row has no id or shares one."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 80))
+    lone, shared, common = [text() for _ in range(6)], [text() for _ in range(3)], text()
+    data = [(None, x) for x in lone] + [(7, x) for x in shared] + [(None, common), (9, common), (8, common + " end"), (3, None), (4, ""), (None, "")] + [(5, shared[0])]
+    d = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicate_stage(spark, d, "").toPandas()
+    assert got.columns.tolist() == d.columns
+    have = collections.Counter((None if i != i else int(i), x) for i, x in zip(got.doc_id, got.text, strict=True))
+    assert have == collections.Counter([(None, x) for x in lone] + [(7, x) for x in shared[1:]] + [(5, shared[0]), (8, common + " end"), (3, None), (4, ""), (None, "")])
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
