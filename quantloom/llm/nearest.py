@@ -208,33 +208,40 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, recall: float = 0.96, orderings: int = ORDERINGS, seed: int = 11) -> DataFrame:
     """The k rows of largest inner product for each query: rows whose vec_id is divisible by `every`.
 
-    vectors: vec_id (unique), embedding (array of numbers, all of one length); other columns are ignored.
+    vectors: vec_id (unique), embedding (array of numbers); other columns are ignored. Each length is a table of its own.
     Returns query_id, rank (from 1), vec_id, score (the inner product in double precision); nearest first, ties to the
     smaller vec_id. A query is no candidate of its own; with fewer candidates than k, all are returned.
 
     Null ids, null and zero vectors, and those that hold null or numbers that are not finite take no part. Equal vectors:
     only the k + 1 smallest ids can be among the k nearest of any query, so only those are candidates. Rows that repeat a
-    vec_id count once. An empty table gives an empty result. Vectors of a length other than the longest are left out.
+    vec_id count once. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     st = Stages(spark, "nearest")
-    v = usable(vectors).dropDuplicates(["vec_id"])
+    v = st.save(usable(vectors).dropDuplicates(["vec_id"]))
+    longest = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    # one row for each length
+    facts = v.groupBy(F.size("v").alias("d")).agg(longest.alias("m")).orderBy("d").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, f in enumerate(facts):
+        found = _nearest(st, v.filter(F.size("v") == f["d"]), float(f["m"]), k, every, recall, orderings, seed)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _nearest(st: Stages, v: DataFrame, longest: float, k: int, every: int, recall: float, orderings: int, seed: int) -> DataFrame:
+    """nearest() of vectors (vec_id, v) of one length; longest: the greatest norm."""
+    spark = v.sparkSession
     # equal vectors: a limit by rank that is applied before the shuffle, too
     w = Window.partitionBy(F.xxhash64("v"), F.xxhash64("v", F.lit(1))).orderBy("vec_id")
     asks = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    v = st.save(v)
-    facts = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not facts["n"]:
-        return empty
-    v = v.filter(F.size("v") == facts["d"])
     first = v.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= k + 1)
     cand = st.save(first.select("vec_id", "v", F.col("copy").cast("long").alias("copy")))
     # queries that are no candidates come in with copy -1
     queries = v.filter(asks).join(cand.select("vec_id", "copy"), "vec_id", "left").filter("copy is null").select("vec_id", "v", F.lit(-1).cast("long").alias("copy"))
     rows = cand.unionByName(queries).withColumn("asks", asks)
     fit = cand.orderBy(F.xxhash64("vec_id")).limit(FIT).select("v").toPandas()["v"]
-    curves = Curves(np.stack([np.asarray(x, float) for x in fit]), float(facts["m"]), orderings, seed)
+    curves = Curves(np.stack([np.asarray(x, float) for x in fit]), longest, orderings, seed)
     ordered = rows.mapInArrow(partial(_orders, curves=curves), "r int, key long, query boolean, vec_id long, v array<double>")
     ordered = ordered.repartitionByRange("r", "key", "query", "vec_id").sortWithinPartitions("r", "key", "query", "vec_id")
     ordered = st.save(ordered.mapInArrow(_number, "r int, key long, query boolean, vec_id long, v array<double>, part long, at long"))

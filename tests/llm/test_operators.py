@@ -178,6 +178,22 @@ def test_nearest(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_of_each_length(spark):
+    """A longer row drops no others."""
+    rng = np.random.default_rng(6)
+    data = [(i, rng.standard_normal(8 if i < 60 else 9 if i < 100 else 10).tolist()) for i in range(101)]
+    r = nearest.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=3, every=10).toPandas()
+    for lo, hi in ((0, 60), (60, 100)):
+        x = np.array([v for _, v in data[lo:hi]])
+        for q in range(lo, hi, 10):
+            s = x @ x[q - lo]
+            s[q - lo] = -np.inf
+            mine = r[r.query_id == q].sort_values("rank")
+            assert mine["rank"].tolist() == [1, 2, 3] and np.allclose(mine.score, s[mine.vec_id - lo])
+            assert mine.score.iloc[0] <= s.max() + 1e-9
+    assert set(r.query_id) == set(range(0, 100, 10))  # 100 is alone of its length
+
+
 def links(k, num, den):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
