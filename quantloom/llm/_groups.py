@@ -14,10 +14,10 @@ from ._common import Stages
 
 
 def classes(sketches: DataFrame, *prints: str) -> DataFrame:
-    """doc_id, rep (the smallest id with the same prints) and copies (how many ids): one row for each id."""
-    ids = sketches.select("doc_id", *prints).distinct()
+    """doc_id, rep (the smallest id with the same prints) and copies (how many ids): one row for each id. Ids are unique."""
+    ids = sketches.select("doc_id", *prints)
     g = ids.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return ids.join(g, list(prints)).select("doc_id", "rep", "copies").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies"))
+    return ids.join(g.hint("merge"), list(prints)).select("doc_id", "rep", "copies")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -78,7 +78,7 @@ def shared_keys(sketches: DataFrame, cls: DataFrame | None, st: Stages) -> DataF
     """
     s = sketches.select("doc_id", "keys").filter(F.size("keys") > 0)
     if cls is not None:
-        s = s.join(cls.filter("doc_id = rep").select("doc_id"), "doc_id")
+        s = s.join(cls.filter("doc_id = rep").select("doc_id").hint("merge"), "doc_id")
     rows = s.select(F.explode("keys").alias("key"), "doc_id").repartition("key").sortWithinPartitions("key")
     hit = rows.mapInArrow(_shared, "key long, doc_id long")
     return st.save(hit.groupBy("doc_id").agg(F.array_distinct(F.collect_list("key")).alias("keys")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 U = np.uint64
 #: Texts go through the kernels in slices of about so many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Words of more bytes are hashed by digest: sums of powers modulo 2**64 agree for some long strings, whatever the base.
+LONG_WORD = 256
 #: Bases of the two polynomial hashes (odd).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -55,6 +58,24 @@ def spans(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> n
     return mix((pre[ends] - pre[starts]) * powers(base, len(pre))[1][starts] + (ends - starts).astype(U))
 
 
+def digests(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests as two vectors of 64-bit words."""
+    d = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    both = np.frombuffer(d, U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def window_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A hash of each `length` consecutive values, built as a tree: halves are mixed before they are joined."""
+    h = mix(data.astype(U) + U(seed * 0x1F123BB5 + 0x51ED270B))
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        h = mix(h[: len(h) - step] ^ (mix(h[step:] + U(size)) * U(0x9E3779B97F4A7C15)))
+        size += step
+    return h
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about SLICE_BYTES of text."""
     for b in batches:
@@ -114,17 +135,16 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.n = np.diff(self.first)
         self.h = spans(prefix(self.data, BASES[0]), self.start, self.end, BASES[0]) if n else np.zeros(0, U)
+        long = np.flatnonzero(self.end - self.start > LONG_WORD)
+        if len(long):
+            self.h[long], _ = digests([self.data[self.start[i] : self.end[i]].tobytes() for i in long.tolist()])
 
     def texts(self) -> Iterator[tuple[int, int]]:
         return zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each text's word sequence."""
-        out = []
-        for base in BASES:
-            p = prefix(mix(self.h ^ U(base & 0xFFFFFFFF)), base)
-            out.append(spans(p, self.first[:-1], self.first[1:], base))
-        return out[0], out[1]
+        """A digest of each text's word sequence, as two vectors."""
+        return digests([self.h[a:z].tobytes() for a, z in self.texts()])
 
     def grams(self, k: int, which: int = 0) -> np.ndarray:
         """A hash of each k consecutive words of the slice; those that run over a text's end mean nothing."""

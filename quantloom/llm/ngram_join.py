@@ -9,8 +9,9 @@ more empty chunks than those is dealt again with another seed (and in the end by
 pair that links shares a signature. Candidates are verified on the exact sets.
 
 Groups that share a signature are not paired out. Small groups are tested pair by pair; in a large one every member is
-tested against the hubs that cover it, few where the members are alike. What the links leave in more than one component is
-then tested between its components only.
+tested against the hubs that cover it, few where the members are alike. Groups above BLOCK members are covered in blocks,
+and then the blocks' hubs. What the links leave in more than one component is then tested between its components only, again
+in blocks of bounded size.
 Before texts are compared, a pair must pass the Hamming distance of two sketches of 64 * WORDS bits, so that nearly all
 texts that travel do link. Components are thus exact, and a group of n copies costs about n tests.
 """
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import NULL_ID, Stages, id_in, id_out
+from ._common import NULL_ID, Stages, numbered
 from ._groups import classes, components, runs
 
 U = np.uint64
 #: Group size up to which all pairs are tested.
 PAIRED = 5
+#: Members of a group that one step holds.
+BLOCK = 4096
 #: Documents that are compared with one copy of a hub.
 HUB_SHARE = 256
 TRIES = 5
@@ -165,29 +168,29 @@ def parity(code: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, WORDS)
 
 
-def _sketch(batches, k: int, num: int, den: int, seed: int):
-    band = bands(num, den, 1 << 40)
+def _prints(batches, k: int):
     for b in T.pieces(batches):
         code, off = flat_sets(T.col(b, "text"), k)
-        n = np.diff(off)
-        pad = np.append(code, U(0))
-        some = n > 0
-        f1 = np.where(some, np.bitwise_xor.reduceat(pad, off[:-1]), U(0))
-        f2 = np.where(some, np.add.reduceat(T.mix(pad), off[:-1]), U(0))
-        bits = parity(code, off)
-        yield pa.record_batch(
-            [T.ints(T.ids(b)), pa.array(n), T.ints(f1), T.ints(f2), T.longs(flat_signatures(code, off, band, num, den, seed)), T.longs(list(bits))],
-            ["doc_id", "n", "f1", "f2", "keys", "bits"],
-        )
+        f1, f2 = T.digests([code[a:z].tobytes() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        yield pa.record_batch([T.ints(T.ids(b)), pa.array(np.diff(off)), T.ints(f1), T.ints(f2), T.longs(list(parity(code, off)))], ["doc_id", "n", "f1", "f2", "bits"])
 
 
-_SKETCH = "doc_id long, n long, f1 long, f2 long, keys array<long>, bits array<long>"
+def _signatures(batches, k: int, num: int, den: int, seed: int):
+    band = bands(num, den, 1 << 40)
+    for b in T.pieces(batches):
+        code, off = flat_sets(T.col(b, "text"), k)
+        keys = flat_signatures(code, off, band, num, den, seed)
+        docs = np.repeat(T.ids(b), [len(x) for x in keys])
+        yield pa.record_batch([T.ints(np.concatenate(keys)), pa.array(docs)], ["key", "doc_id"])
 
 
 def _candidates(batches, most: int):
-    """From rows (key, doc_id) ordered by key: pairs of small groups (0, a, b), and rows of large groups (1, key, doc_id)."""
-    for t, first in runs(batches, ["key"]):
-        docs, key = t.column("doc_id").to_numpy(), t.column("key").to_numpy()
+    """From rows (key, doc_id) ordered by key: pairs of small groups (0, a, b), and rows of large groups (1, key, doc_id).
+    Of a group, no more than most rows and a batch are ever held."""
+    held_k, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_key = None  # a large group whose rows so far have gone out
+
+    def told(key, docs, first):
         size = np.diff(first)
         kind, x, y = [], [], []
         for m in range(2, most + 1):
@@ -201,7 +204,28 @@ def _candidates(batches, most: int):
         kind.append(np.ones(len(large), np.int32))
         x.append(key[large])
         y.append(docs[large])
-        yield pa.record_batch([pa.array(np.concatenate(kind)), pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["kind", "x", "y"])
+        return pa.record_batch([pa.array(np.concatenate(kind)), pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["kind", "x", "y"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, docs = T.ids(b, "key"), T.ids(b)
+        if open_key is not None:
+            n = int(np.searchsorted(key != open_key, True))
+            yield pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(key[:n]), pa.array(docs[:n])], ["kind", "x", "y"])
+            key, docs = key[n:], docs[n:]
+            if not len(key):
+                continue
+            open_key = None
+        key, docs = np.append(held_k, key), np.append(held_d, docs)
+        first = np.append(0, 1 + np.flatnonzero(key[1:] != key[:-1]))
+        cut = int(first[-1])
+        if len(key) - cut > most:
+            open_key, cut, first = key[-1], len(key), np.append(first, len(key))
+        yield told(key[:cut], docs[:cut], first)
+        held_k, held_d = key[cut:], docs[cut:]
+    if len(held_k):
+        yield told(held_k, held_d, np.array([0, len(held_k)]))
 
 
 def _may_link(bits, n, i, js, num: int, den: int) -> np.ndarray:
@@ -217,11 +241,11 @@ def _group_arrays(t: pa.Table, a: int, z: int):
 
 
 def _cover(batches, num: int, den: int):
-    """From large groups (key, doc_id, n, bits): pairs that hold each group together as far as sketches tell. One member
-    after the other that no hub covers becomes a hub; it is paired with the members it newly covers, and with one member of
-    each earlier hub's."""
-    for t, first in runs(batches, ["key"]):
-        x, y = [], []
+    """From blocks (key, block, doc_id, n, bits): pairs (0, x, y) that hold each block together as far as sketches tell, and
+    its hubs (1, key, hub). One member after the other that no hub covers becomes a hub; it is paired with the members it
+    newly covers, and with one member of each earlier hub's."""
+    for t, first in runs(batches, ["key", "block"]):
+        keys, x, y, hk, hd = t.column("key").to_numpy(), [], [], [], []
         for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             docs, n, bits = _group_arrays(t, a, z)
             order = np.argsort(T.mix(docs.view(U)))
@@ -239,21 +263,43 @@ def _cover(batches, num: int, den: int):
                 x.append(np.full(len(js), docs[i]))
                 y.append(docs[js])
                 of[i] = of[new] = i
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        yield pa.record_batch([pa.array(cat(x)), pa.array(cat(y))], ["x", "y"])
+                hk.append(keys[a])
+                hd.append(docs[i])
+        n = sum(map(len, x))
+        kind = np.repeat(np.array([0, 1], np.int32), [n, len(hk)])
+        yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([*x, np.array(hk, np.int64)])), pa.array(np.concatenate([*y, np.array(hd, np.int64)]))], ["kind", "x", "y"])
+
+
+def _covered(large: DataFrame, prints: DataFrame, num: int, den: int, st: Stages) -> DataFrame:
+    """Pairs (x, y) that hold the large groups (key, doc_id) together: in blocks, then hubs of blocks, while they get fewer."""
+    out, members = None, None
+    while True:
+        # one row for each group above a block
+        sizes = st.save(large.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK))
+        now = sizes.agg(F.sum("c")).first()[0]
+        last = now is None or (members is not None and now > members // 2)
+        members = now
+        n_blocks = F.ceil(F.coalesce(F.col("c"), F.lit(1)) / F.lit(BLOCK))
+        dealt = large.join(sizes, "key", "left").select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), n_blocks).alias("block"))
+        dealt = dealt.join(prints.hint("merge"), "doc_id").select("key", "block", "doc_id", "n", "bits").repartition("key", "block").sortWithinPartitions("key", "block")
+        found = st.save(dealt.mapInArrow(partial(_cover, num=num, den=den), "kind int, x long, y long"))
+        pairs = found.filter("kind = 0").select("x", "y")
+        out = pairs if out is None else out.unionByName(pairs)
+        if last:
+            return out
+        large = found.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).join(sizes.select("key"), "key", "left_semi")
 
 
 def _between(batches, num: int, den: int):
-    """From groups (key, doc_id, comp, n, bits): the pairs of different components that may link."""
-    for t, first in runs(batches, ["key"]):
-        comps, x, y = t.column("comp").to_numpy(), [], []
+    """From cells (key, i, j) of members and probes (doc_id, comp, main, n, bits): the pairs of a probe and a member of
+    another component that may link; a member that is a probe, too, is met from one side."""
+    for t, first in runs(batches, ["key", "i", "j"]):
+        comps, probes, main, x, y = t.column("comp").to_numpy(), t.column("probe").to_numpy(), t.column("main").to_numpy(), [], []
         for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             docs, n, bits = _group_arrays(t, a, z)
-            c = comps[a:z]
-            # members of the largest component never meet each other
-            kinds, inverse, count = np.unique(c, return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(inverse != count.argmax()).tolist():
-                js = np.flatnonzero((inverse == count.argmax()) | ((inverse != inverse[i]) & (np.arange(len(c)) > i)))
+            c, probe, m = comps[a:z], probes[a:z], main[a:z]
+            for i in np.flatnonzero(probe).tolist():
+                js = np.flatnonzero(~probe & (c != c[i]) & (m | (docs > docs[i])))
                 js = js[_may_link(bits, n, i, js, num, den)]
                 x.append(np.full(len(js), docs[i]))
                 y.append(docs[js])
@@ -261,6 +307,24 @@ def _between(batches, num: int, den: int):
         yield pa.record_batch([pa.array(cat(x)), pa.array(cat(y))], ["x", "y"])
 
 
+def _split(large: DataFrame, comp: DataFrame, prints: DataFrame, num: int, den: int, st: Stages) -> DataFrame:
+    """Pairs (x, y) that may link of large groups (key, doc_id) whose members are in several components. Members outside a
+    group's largest component are probes; probes and members meet in cells of a grid, of BLOCK of each at most or so."""
+    named = comp.select(F.col("v").alias("doc_id"), F.col("component").alias("comp"))
+    rows = st.save(large.join(named.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    kinds = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    kinds = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).filter("k > 1")
+    blocks = lambda x: F.ceil(x / F.lit(BLOCK))
+    kinds = st.save(kinds.select("key", F.col("top.comp").alias("top"), blocks(F.col("all") - F.col("top.c")).alias("a"), blocks(F.col("all")).alias("b")))
+    d = rows.join(kinds, "key").withColumn("main", F.col("comp") == F.col("top"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    probes = d.filter("not main").select("key", "doc_id", "comp", "main", F.lit(True).alias("probe"), own("a").alias("i"), upto("b").alias("j"))
+    members = d.select("key", "doc_id", "comp", "main", F.lit(False).alias("probe"), upto("a").alias("i"), own("b").alias("j"))
+    cells = probes.unionByName(members).join(prints.hint("merge"), "doc_id").select("key", "i", "j", "doc_id", "comp", "main", "probe", "n", "bits")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_between, num=num, den=den), "x long, y long")
+
+
 def _verify(batches, k: int, num: int, den: int):
     """From rows (hub, part, guest, doc_id, text) ordered, a hub before its guests: links (a, b)."""
     hub, own = None, np.zeros(0, U)
@@ -283,8 +347,8 @@ def _verify(batches, k: int, num: int, den: int):
 def _near(pairs: DataFrame, sk: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that may link by their sizes and by the Hamming distance of their sketches."""
     s = sk.select("doc_id", "n", "bits")
-    p = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-    p = p.join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    p = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")).hint("merge"), "a")
+    p = p.join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).hint("merge"), "b")
     away = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(1, WORDS)), F.bit_count(F.get("ba", F.lit(0)).bitwiseXOR(F.get("bb", F.lit(0)))))
     sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     return p.filter(sizes & (away * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b").distinct()
@@ -303,50 +367,57 @@ def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, st: S
     p = st.save(p.withColumn("parts", parts))
     guests = p.select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.lit(True).alias("guest"))
     hubs = p.groupBy("hub").agg(F.max("parts").alias("parts")).select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("guest"))
-    sent = guests.unionByName(hubs).join(texts, "doc_id")
+    sent = guests.unionByName(hubs).hint("merge").join(texts, "doc_id")
     sent = sent.select("hub", "part", "guest", "doc_id", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "guest", "doc_id")
     return st.save(sent.mapInArrow(partial(_verify, k=k, num=num, den=den), "a long, b long"))
 
 
-def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, most: int = PAIRED) -> DataFrame:
-    """Connected components of the links |A & B| / |A | B| >= num / den between the sets of k-word shingles.
-
-    docs: doc_id, text; other columns are ignored. Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. A text of fewer
-    than k words is one shingle; an empty or null one has no shingles and links with nothing.
-    Returns doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included; one row for each row of docs.
-
-    Rows with a null doc_id are one document without a number, whose id in the result is null; it comes first in order, so
-    its component is null too. Rows that repeat a doc_id are one document: the texts' sets must agree, else the smallest
-    print stands for all. Equal sets are one class, of which only the first takes part, so exact copies cost nothing.
-    """
-    spark = docs.sparkSession
-    st = Stages(spark, "ngrams")
-    texts = docs.select(id_in().alias("doc_id"), "text")
-    sk = st.save(texts.mapInArrow(partial(_sketch, k=k, num=num, den=den, seed=0), _SKETCH))
-    cls = st.save(classes(sk.filter("n > 0"), "n", "f1", "f2"))
-    reps = cls.filter("doc_id = rep").select("doc_id")
-    keys = sk.select("doc_id", "keys").join(reps, "doc_id").select(F.explode("keys").alias("key"), "doc_id")
-    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+def ngram_groups(texts: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, most: int = PAIRED) -> DataFrame:
+    """As ngram_components() for texts (doc_id, unique and not null; text): doc_id, n_shingles, component_id."""
+    st = Stages(texts.sparkSession, "ngrams")
+    prints = st.save(texts.mapInArrow(partial(_prints, k=k), "doc_id long, n long, f1 long, f2 long, bits array<long>"))
+    cls = st.save(classes(prints.filter("n > 0"), "n", "f1", "f2"))
+    first = texts.join(cls.filter("doc_id = rep").select("doc_id").hint("merge"), "doc_id").select("doc_id", "text")
+    keys = first.mapInArrow(partial(_signatures, k=k, num=num, den=den, seed=0), "key long, doc_id long")
     pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    prints = sk.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
-    out = st.save(by_key(keys).mapInArrow(partial(_candidates, most=most), "kind int, x long, y long"))
-    large = out.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct()
-    large = st.save(large.join(prints, "doc_id").select("key", "doc_id", "n", "bits"))
-    spread = by_key(large).mapInArrow(partial(_cover, num=num, den=den), "x long, y long")
+    out = st.save(keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_candidates, most=most), "kind int, x long, y long"))
+    large = st.save(out.filter("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct())
+    spread = _covered(large, prints, num, den, st)
     links = _links(texts, _near(pair(out.filter("kind = 0")), prints, num, den).unionByName(pair(spread)).distinct(), k, num, den, st)
     st.drop(out)
     # members of large groups that the links do not yet hold together
     comp = st.save(components(links, st))
-    named = comp.select(F.col("v").alias("doc_id"), F.col("component").alias("comp"))
-    large = large.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n", "bits")
-    split = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    more = st.save(pair(by_key(large.join(split, "key")).mapInArrow(partial(_between, num=num, den=den), "x long, y long")))
+    more = st.save(pair(_split(large, comp, prints, num, den, st)))
     if not more.isEmpty():
         # the components so far are links enough, each member with its smallest
         so_far = comp.select(F.col("v").alias("a"), F.col("component").alias("b"))
         comp = st.save(components(so_far.unionByName(_links(texts, more, k, num, den, st)), st))
-    whole = cls.join(comp.select(F.col("v").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    # ids whose texts have no shingles are not in cls
-    res = sk.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    res = res.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return res.select(id_out("doc_id"), "n_shingles", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
+    whole = cls.join(comp.select(F.col("v").alias("rep"), "component").hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    # texts without shingles are not in cls
+    res = prints.select("doc_id", F.col("n").alias("n_shingles")).join(whole.hint("merge"), "doc_id", "left")
+    res = st.save(res.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    st.drop(prints, cls, large, links, comp, more)
+    return res
+
+
+def ngram_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, most: int = PAIRED) -> DataFrame:
+    """Connected components of the links |A & B| / |A | B| >= num / den between the sets of k-word shingles.
+
+    docs: doc_id, text; other columns are ignored. Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. A text of fewer
+    than k words is one shingle; an empty or null one has no shingles and links with nothing. A text is held whole in one
+    task, however long.
+    Returns doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included; one row for each row of docs.
+
+    Rows that repeat a doc_id, or have none, are documents of their own; null comes last in order, so component_id is null
+    only where all of a component are without an id. Equal sets are one class, of which only the first takes part, so exact
+    copies cost nothing. An empty table gives an empty result.
+    """
+    st = Stages(docs.sparkSession, "ids")
+    rows, plain = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), st)
+    groups = ngram_groups(rows.select(F.col("__doc").alias("doc_id"), "text"), k=k, num=num, den=den, most=most)
+    if plain:
+        back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+        return groups.select(back("doc_id"), "n_shingles", back("component_id"))
+    name = rows.select(F.col("__doc").alias("__n"), F.col("rest.doc_id").alias("__id"))
+    own = groups.join(name.hint("merge"), F.col("doc_id") == F.col("__n")).select(F.col("__id").alias("doc_id"), "n_shingles", "component_id")
+    return own.join(name.hint("merge"), F.col("component_id") == F.col("__n")).select("doc_id", "n_shingles", F.col("__id").alias("component_id"))
