@@ -3,7 +3,8 @@
 D = {0, 1, 3, 9} is a difference cover modulo 13: any difference of two places is a difference of two members. So wherever
 a run of words starts in two texts, some place less than 13 words on is at a cover position of both. Only the anchors, short
 runs of words at cover positions, are hashed and dealt over the cluster; a match of `window` words always contains an
-anchor that both places share. Windows that contain a shared anchor are then extended to the whole window and compared.
+anchor that both places share. Windows that contain a shared anchor are then extended to the whole window and compared by
+128-bit hashes over the cluster; within a text, the windows found are looked up again by 64 of those bits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from . import _text as T
-from ._common import Stages, id_in, id_out
+from ._common import Stages, numbered
 from ._groups import classes, shared_keys
 
 U = np.uint64
@@ -138,30 +139,31 @@ def substring_dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     input, not on what is left. Returns rest (a struct of all columns of docs except text), text, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space) and kept_words (that text, null where nothing was removed).
 
-    Null and empty texts have no words; texts shorter than the window lose nothing. A null doc_id comes first in order.
-    Rows that repeat a doc_id are one document in order: windows that they share with each other stay. window is 14 at
-    least. An empty table gives an empty result.
+    Null and empty texts have no words; texts shorter than the window lose nothing; a text is held whole in one task, however
+    long. A null doc_id comes last in order. Rows that repeat a doc_id are documents of their own, in order of a hash of
+    their texts. Of equal places the first in this order stays. window is 14 at least. An empty table gives an empty result.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be above {PERIOD}")
     st = Stages(docs.sparkSession, "substrings")
-    texts = docs.select(id_in().alias("doc_id"), "text")
+    docs, _ = numbered(docs, st)
+    texts = docs.select(F.col("__doc").alias("doc_id"), "text")
     sk = st.save(texts.mapInArrow(partial(_sketch, window=window), "doc_id long, n long, f1 long, f2 long, keys array<long>"))
     cls = st.save(classes(sk.filter(F.col("n") >= window), "n", "f1", "f2"))
     shared = shared_keys(sk, cls, st)
     st.drop(sk)
-    found = texts.join(shared, "doc_id").mapInArrow(partial(_candidates, window=window), "w1 long, w2 long, doc_id long")
+    found = texts.join(shared.hint("merge"), "doc_id").mapInArrow(partial(_candidates, window=window), "w1 long, w2 long, doc_id long")
     later = found.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id").mapInArrow(_later, "doc_id long, w1 long")
     later = later.groupBy("doc_id").agg(F.array_distinct(F.collect_list("w1")).alias("keys"))
-    marks = later.join(cls.filter("doc_id <> rep").select("doc_id", F.lit(True).alias("copy")), "doc_id", "full")
+    marks = later.join(cls.filter("doc_id <> rep").select("doc_id", F.lit(True).alias("copy")).hint("merge"), "doc_id", "full")
     marks = st.save(marks.select(F.col("doc_id").alias("__id"), "keys", F.coalesce("copy", F.lit(False)).alias("copy")))
-    rest = F.struct(*[c for c in docs.columns if c != "text"])
-    rows = docs.select(rest.alias("rest"), "text", id_in().alias("__doc")).join(marks, F.col("__doc") == F.col("__id"), "left")
+    st.drop(shared)
+    rows = docs.join(marks.hint("merge"), F.col("__doc") == F.col("__id"), "left")
     rows = rows.select("rest", "text", "keys", F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = ST.StructType([rows.schema["rest"], ST.StructField("text", ST.StringType())]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_words", "string")
     return rows.mapInArrow(partial(_remove, window=window), schema)
 
 
 def dedup_digests(docs: DataFrame, *, window: int = 20) -> DataFrame:
-    d = substring_dedup(docs.select(id_in().alias("doc_id"), "text"), window=window)
-    return d.select(F.col("rest.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256").withColumn("doc_id", id_out("doc_id"))
+    d = substring_dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window=window)
+    return d.select(F.col("rest.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
