@@ -1,19 +1,28 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 The program has a variable for each way to fill a sequence (a configuration) and a row for each length in the histogram
-(at most `capacity` rows, however many documents there are). It is solved by multiplicative weights: a length's price is its
-size times a factor that falls with the share of it already covered; a knapsack dynamic program over the capacity prices
-configurations, several from one table; each enters with the largest whole multiple that a step allows. Whole multiples are
-the rounding; what they leave is placed by best fit on the histogram. Pieces then find their place by (length, rank).
+(at most `capacity` rows, however many documents there are): the fewest sequences that cover every length's count. It is
+solved by multiplicative weights. Each round, a knapsack dynamic program over the capacity prices configurations, one for
+each length that it must hold; as many sequences as the pieces are worth at these prices are dealt over them, and a length's
+price is multiplied down by its cover of the round above its count and up by what it lacks. The rounds' mean is the
+fractional solution; the prices give a bound that no packing can beat: their value of all pieces over that of the
+dearest configuration.
+
+Rounding takes the whole part of each configuration's sequences. What the fractions leave is placed at the prices of the best
+bound, still multiplied by what remains of each length: the dearest configurations that hold the longest and the most
+frequent pieces that remain, from one knapsack table a round, each as often as half of these pieces allows; then the
+last by best fit on the histogram. Pieces find their place by
+(length, rank).
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import zlib
 from array import array
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +36,39 @@ CAPACITY = 2048
 
 
 def vocabulary() -> str:
-    """The file of ranks of the byte_bpe_50k vocabulary; the same ids as byte_bpe_50k.json gives."""
+    """The file of the byte_bpe_50k vocabulary; its ranks stand beside it, with the suffix .tiktoken."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class _Encoder:
+    """The ids of tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False). Texts that hold none of its
+    added tokens are encoded from the same vocabulary's ranks, which is faster and gives the same ids."""
+
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> bytes:
         """Unsigned 32-bit ids, little-endian."""
-        out = array("I", self.encode(text))
+        if any(x in text for x in self.added):
+            out = array("I", self.whole.encode(text, add_special_tokens=False).ids)
+        else:
+            out = array("I", self.fast(text))
         if sys.byteorder != "little":
             out.byteswap()
         return out.tobytes()
@@ -79,11 +103,13 @@ def _tokenize(batches, path: str, capacity: int, end: int):
 
 
 class Plan:
-    """configurations: (number of sequences, {length: how many in each})."""
+    """configurations: (number of sequences, {length: how many in each}); bound: sequences that any packing needs."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.configurations: list[tuple[int, dict[int, int]]] = []
+        self.bound = 0.0
+        self.lp = 0.0
 
     @property
     def sequences(self) -> int:
@@ -119,81 +145,106 @@ def _table(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.nd
     return best, last
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, *, eta: float = 0.5, share: float = 0.25) -> Plan:
+def _oracle(lengths: np.ndarray, last: np.ndarray, capacity: int) -> np.ndarray:
+    """For each length, the counts of the dearest configuration that holds it."""
+    m = len(lengths)
+    step = np.arange(capacity + 1)  # the largest capacity up to each where the table puts something in
+    step = np.maximum.accumulate(np.where(last >= 0, step, 0))
+    room, out = step[capacity - lengths], np.eye(m, dtype=np.int32)
+    live = np.flatnonzero(room > 0)
+    while len(live):
+        j = last[room[live]]
+        out[live, j] += 1
+        room[live] = step[room[live] - lengths[j]]
+        live = live[room[live] > 0]
+    return out
+
+
+def relax(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int = 16, eta: float = 0.25, gap: float = 0.002) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The covering program by multiplicative weights: (configurations, sequences of each, prices, bound). It ends when the mean
+    solution is within `gap` of the bound and what it lacks below `gap` of the pieces' volume, or after `rounds`."""
+    volume = float(lengths @ counts)
+    price = lengths / capacity
+    total, bound, used = np.zeros(len(lengths)), 0.0, 0.0
+    mean: dict[bytes, list] = {}
+    for t in range(1, rounds + 1):
+        best, last = _table(lengths, price, capacity)
+        if (b := float(price @ counts) / best[capacity]) > bound:
+            bound, dual = b, price.copy()
+        configs = _oracle(lengths, last, capacity)
+        held = configs.astype(np.float32)
+        x = counts * price
+        # what they hold is worth what there is, and as much
+        x *= max(float(price @ counts) / float(x @ (held @ price)), volume / float(x @ (held @ lengths)))
+        cover = (x @ held) / counts
+        total += cover
+        used += float(x.sum())
+        price = price * np.exp(-eta * np.clip(cover - 1, -1, 1))
+        price /= price.max()
+        for c, n in zip(configs, x.tolist(), strict=True):
+            mean.setdefault(c.tobytes(), [c, 0.0])[1] += n
+        lacks = float((np.maximum(0, 1 - total / t) * counts) @ lengths)
+        if lacks < gap * volume and used / t < (1 + gap) * bound:
+            break
+    return np.array([c for c, _ in mean.values()]), np.array([n / t for _, n in mean.values()]), dual, bound
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, **options) -> Plan:
     """A plan for a histogram of lengths from 1 to capacity."""
     plan = Plan(capacity)
     left = {n: c for n, c in sorted(histogram.items()) if c > 0}
     if full := left.pop(capacity, 0):
         plan.configurations.append((full, {capacity: 1}))
+        plan.bound = plan.lp = float(full)
     if not left:
         return plan
-    total = dict(left)
     lengths = np.array(list(left), np.int64)
-    rem = np.array(list(left.values()), np.int64)
-    all_ = rem.copy()
-
-    def best_fit(config: dict[int, int], room: int) -> int:
-        """Fills the room of one sequence with the largest lengths that remain."""
-        while room:
-            j = int(np.searchsorted(lengths, room, "right")) - 1
-            while j >= 0 and rem[j] <= config.get(int(lengths[j]), 0):
-                j -= 1
-            if j < 0:
-                break
-            n = int(lengths[j])
-            take = min(room // n, int(rem[j]) - config.get(n, 0))
-            config[n] = config.get(n, 0) + take
-            room -= take * n
-        return room
-
-    index = {int(n): i for i, n in enumerate(lengths)}
-
-    def take(config: dict[int, int], times: int) -> None:
-        plan.configurations.append((times, dict(config)))
-        for n, c in config.items():
-            rem[index[n]] -= c * times
-
-    rounds = 0
-    while rem.any() and rounds < 400:
-        rounds += 1
-        alive = np.flatnonzero(rem)
-        ls = lengths[alive]
-        # lengths of which much is still uncovered are dear; all prices stay near the size, so that sequences fill up
-        price = ls * np.exp(eta * (rem[alive] / all_[alive] - 1.0) * 0.02)
-        _, last = _table(ls, price, capacity)
-        used = 0
-        # the longest pieces are the hardest to place: one configuration for each of some of them, and for the dearest
-        seeds = np.unique(np.concatenate([alive[-max(1, len(alive) // 8) :], alive[np.argsort(-rem[alive])[: max(1, len(alive) // 8)]]]))[::-1]
-        for seed in seeds.tolist():
-            if not rem[seed]:
-                continue
-            n = int(lengths[seed])
-            config, room = {n: 1}, capacity - n
-            while room > 0:
-                if last[room] < 0:
-                    room -= 1
-                    continue
-                k = int(ls[last[room]])
-                if config.get(k, 0) + 1 > rem[index[k]]:
-                    break
-                config[k] = config.get(k, 0) + 1
-                room -= k
-            room = capacity - sum(a * c for a, c in config.items())
-            if room:
-                best_fit(config, room)
-            most = min(int(rem[index[a]]) // c for a, c in config.items())
-            take(config, max(1, int(most * share)))
-            used += 1
-        if not used:
+    counts = np.array(list(left.values()), np.int64)
+    rem = counts.copy()
+
+    def take(config: np.ndarray, times: int) -> None:
+        at = np.flatnonzero(config)
+        plan.configurations.append((times, {int(lengths[j]): int(config[j]) for j in at}))
+        rem[at] -= config[at] * times
+
+    configs, x, price, bound = relax(lengths, counts, capacity, **options)
+    plan.bound += bound
+    plan.lp += float(x.sum())
+    for i in np.flatnonzero(x >= 1).tolist():
+        at = np.flatnonzero(configs[i])
+        if times := min(int(x[i]), int((rem[at] // configs[i][at]).min())):
+            take(configs[i], times)
+
+    def best_fit(config: np.ndarray) -> None:
+        """Fills a configuration with the largest lengths that remain."""
+        room = capacity - int(config @ lengths)
+        j = len(lengths)
+        while room and (j := min(j, int(np.searchsorted(lengths, room, "right"))) - 1) >= 0:
+            n = min(room // int(lengths[j]), int(rem[j] - config[j]))
+            config[j] += n
+            room -= n * int(lengths[j])
+
+    for _ in range(400):
+        some = np.flatnonzero(rem)
+        if not len(some):
             break
-    # what is left, sequence by sequence
+        _, last = _table(lengths[some], price[some] * np.exp(0.01 * (rem[some] / counts[some] - 1)), capacity)
+        wanted = _oracle(lengths[some], last, capacity)
+        share = max(1, len(some) // 8)
+        seeds = np.unique(np.append(np.arange(len(some) - share, len(some)), np.argsort(-rem[some])[:share]))[::-1]
+        for i in seeds.tolist():
+            if not rem[some[i]]:
+                continue
+            config = np.zeros(len(lengths), np.int64)
+            config[some] = np.minimum(wanted[i], rem[some])
+            best_fit(config)
+            at = np.flatnonzero(config)
+            take(config, max(1, int((rem[at] // config[at]).min()) // 2))
     while rem.any():
-        j = int(np.flatnonzero(rem)[-1])
-        config = {int(lengths[j]): 1}
-        best_fit(config, capacity - int(lengths[j]))
-        most = min(int(rem[index[a]]) // c for a, c in config.items())
-        take(config, max(1, most))
-    assert all(sum(t * c.get(n, 0) for t, c in plan.configurations) == total[n] for n in list(total)[:3])
+        config = np.zeros(len(lengths), np.int64)
+        best_fit(config)
+        at = np.flatnonzero(config)
+        take(config, int((rem[at] // config[at]).min()))
     return plan
 
 
@@ -212,10 +263,10 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str | None = None,
 
     A document is its text's ids and then `end`; only longer ones are cut, into pieces of `capacity` tokens of which the
     first may be shorter. Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    path: the vocabulary's file of ranks, read by every worker.
+    path: the vocabulary's json file, with its ranks beside it; every worker reads both.
 
-    Null and empty texts are one piece of one token. A null doc_id stays null; rows that repeat are packed each. An empty
-    table gives an empty result.
+    Null and empty texts are one piece of one token; a text's ids are held in one task, however long. A null doc_id stays
+    null; rows that repeat are packed each. An empty table gives an empty result.
     """
     st = Stages(docs.sparkSession, "packing")
     light = "doc_id long, piece int, start long, length long, ids_crc32 long, k long, part long"
@@ -226,7 +277,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str | None = None,
     # one row for each length, capacity rows at most
     histogram = {r["__l"]: r["n"] for r in counts.groupBy("__l").agg(F.sum("c").alias("n")).collect()}
     plan = solve(histogram, capacity)
-    ranked = pieces.join(counts, (F.col("part") == F.col("__p")) & (F.col("length") == F.col("__l"))).withColumn("rank", F.col("k") + F.col("__before"))
+    ranked = pieces.join(counts.hint("merge"), (F.col("part") == F.col("__p")) & (F.col("length") == F.col("__l"))).withColumn("rank", F.col("k") + F.col("__before"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     slots = plan.slots() if histogram else tuple(np.zeros(0, np.int64) for _ in range(4))
     out = ranked.mapInArrow(partial(_place, slots=slots), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -113,7 +113,6 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     r = packing.pack(docs).toPandas()
     for d, x, *_ in rows():
         ids = np.array([*tok.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
