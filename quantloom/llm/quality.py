@@ -2,8 +2,9 @@
 
 Counts that are natural to a text are turned into ratios. A KLL sketch of each ratio is built for each language and source
 (mergeable: partial sketches of tasks, and later batches, combine). A group's upper limit is its upper quantile plus
-`reach` times its spread, the distance from its median; a group without a spread counts as having a small one. A small group
-borrows the sketch of its language, merged from its sources. The limits, a row for each group, are then joined to the documents.
+`reach` times its spread, the distance from its median; a group without a spread counts as having a small one. Quantiles are
+means of the group's own and of its language's, whose sketch is merged from its sources; a group of n rows weighs n, its
+language PRIOR_ROWS. The limits, a row for each group, are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ class Rule:
 
 #: spread: what clean texts of a like kind may differ by; it counts where a group's own is smaller.
 RULES = (Rule("mean_word", 0.5), Rule("symbol_ratio", 0.05), Rule("dup_line_ratio", 0.1), Rule("repeat_ratio", 0.1))
-#: Rows a group needs before its own sketch sets its limits.
-LEAST_ROWS = 200
+#: Rows that the language's sketch counts as beside a group's own.
+PRIOR_ROWS = 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -81,17 +82,17 @@ def ratios(d: DataFrame) -> DataFrame:
     )
 
 
-def limits(measured: DataFrame, rules=RULES, least_rows: int = LEAST_ROWS) -> DataFrame:
+def limits(measured: DataFrame, rules=RULES, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """lang, source and an upper limit for each rule, from the sketches of documents that pass the base rules."""
     passing = measured.filter(~F.col("base_failed"))
     own = passing.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"), *[F.kll_sketch_agg_double(r.name).alias(f"__k_{r.name}") for r in rules])
     lang = own.groupBy(F.col("lang").alias("__lang")).agg(*[F.kll_merge_agg_double(f"__k_{r.name}").alias(f"__m_{r.name}") for r in rules])
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")))
+    own_share = F.col("__n") / (F.col("__n") + F.lit(float(prior_rows)))
     out = [F.col("lang"), F.col("source")]
     for r in rules:
-        k = F.when(F.col("__n") >= least_rows, F.col(f"__k_{r.name}")).otherwise(F.col(f"__m_{r.name}"))
-        hi = F.kll_sketch_get_quantile_double(k, F.lit(r.upper))
-        mid = F.kll_sketch_get_quantile_double(k, F.lit(0.5))
+        at = lambda q, r=r: sum(F.kll_sketch_get_quantile_double(f"__{k}_{r.name}", F.lit(q)) * w for k, w in (("k", own_share), ("m", 1 - own_share)))
+        hi, mid = at(r.upper), at(0.5)
         out.append((hi + F.lit(r.reach) * F.greatest(hi - mid, F.lit(r.spread))).alias(f"max_{r.name}"))
     return both.select(*out)
 
@@ -100,7 +101,7 @@ def row_hash() -> Column:
     return F.xxhash64("text", F.col("lang").cast("string"), F.col("source").cast("string"))
 
 
-def quality_rules(docs: DataFrame, rules=RULES, *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules=RULES, *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """A verdict for each row of docs (doc_id, text, lang, source; other columns ignored).
 
     Returns doc_id, lang, source, row_hash (of text, lang and source, to find the row again), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the ratios and limits,
@@ -109,13 +110,13 @@ def quality_rules(docs: DataFrame, rules=RULES, *, min_words: int = MIN_WORDS, m
 
     Null text has no words and fails the base rules. Null lang or source are groups like others. Rows that repeat are
     judged one by one; a ratio equal to its limit passes. Where no document of a group passes the base rules there is no
-    limit. An empty table gives an empty result.
+    limit. A text is held whole in one task, however long. An empty table gives an empty result.
     """
     st = Stages(docs.sparkSession, "quality")
     d = ratios(counts(docs.select(id_in().alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").withColumn("row_hash", row_hash()), ["doc_id", "lang", "source", "row_hash"]))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     d = st.save(d.withColumn("base_failed", failed))
-    lim = st.save(limits(d, rules, least_rows))
+    lim = st.save(limits(d, rules, prior_rows))
     out = join_small(d, lim, ["lang", "source"]).select(d["*"], *[f"max_{r.name}" for r in rules])
     above = F.lit(False)
     for r in rules:
