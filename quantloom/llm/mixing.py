@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Stages, id_in, join_small
+from ._common import Stages, id_in, join_small, ordinals
 
 #: Buckets of the seeded hash in which a source's sizes are summed.
 HASH_BUCKETS = 4096
@@ -77,12 +77,19 @@ def mix_sources(docs: DataFrame, weights, *, total_share: float = 1.5, max_epoch
     mix repeats the document, taken = size * copies.
 
     Null or empty text has size 0 and copies of floor(epochs) at most one more; null is a source like any other, last in
-    order. Rows that repeat a doc_id count as documents of their own, with the same seeded hash. An empty table gives an
-    empty result. Reruns with the same seed agree, whatever the partitioning.
+    order. Rows that repeat a doc_id are documents of their own: their hashes differ by their size, source or, among rows equal
+    in these, a number; which of such rows gets which copies says nothing. Long texts are counted whole. An empty table gives
+    an empty result. Reruns with the same seed agree, whatever the partitioning.
     """
     st = Stages(docs.sparkSession, "mix")
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(HASH_BUCKETS)).cast("int")
     sized = st.save(docs.select(id_in().alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    own = ["doc_id", "source", "size"]
+    if sized.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        u = F.xxhash64("doc_id", F.lit(seed))
+    else:
+        sized = st.save(ordinals(sized, own, st))
+        u = F.xxhash64(*own, "__ord", F.lit(seed))
+    u = F.pmod(u, F.lit(HASH_BUCKETS)).cast("int")
     sources = weights(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     t = targets(sources, total_share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
