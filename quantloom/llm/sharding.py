@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import Stages, id_in
+from ._common import Stages, id_in, ordinals
 
 #: Bits of the first and each further round.
 COARSE = 12
@@ -33,8 +32,8 @@ def shard(rows: DataFrame, *, limit: int) -> DataFrame:
     hashes agree in MAX_BITS bits followed by + and the number of a part.
 
     A row above the limit by itself gets a shard of its own with oversize true; all other shards fit. Null keys hash like
-    a key. Rows that repeat a key stay together unless they pass the limit together; then they are dealt in turn over parts.
-    An empty table gives an empty result.
+    a key. Rows that repeat a key stay together unless they pass the limit together; then they are dealt in turn over parts,
+    and which row is in which part may differ between runs. An empty table gives an empty result.
     """
     st = Stages(rows.sparkSession, "shard")
     size = F.coalesce(F.col("n_bytes"), F.lit(0)).cast("long")
@@ -58,15 +57,16 @@ def shard(rows: DataFrame, *, limit: int) -> DataFrame:
         rest = placed.filter("shard is null").select("key", "n_bytes", "__h")
         if high == MAX_BITS:
             # rows of one hash: in turn over parts that fit; each part takes floor(limit / largest row) rows
-            w = Window.partitionBy("__h")
-            k = F.row_number().over(w.orderBy("n_bytes", "key")) - 1
-            per = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("n_bytes").over(w), F.lit(1))), F.lit(1))
-            parts = rest.withColumn("__p", F.floor(k / per)).withColumn("shard", F.concat(_bits(F.col("__h"), high), F.lit("+"), F.col("__p")))
-            done.append(parts.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("shard"))).select("key", "n_bytes", "shard", "shard_bytes"))
+            largest = rest.groupBy("__h").agg(F.max("n_bytes").alias("__m")).withColumnRenamed("__h", "__g")
+            parts = ordinals(rest, ["__h"], st).join(largest.hint("merge"), F.col("__h") == F.col("__g"))
+            per = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("__m"), F.lit(1))), F.lit(1))
+            parts = st.save(parts.withColumn("shard", F.concat(_bits(F.col("__h"), high), F.lit("+"), F.floor(F.col("__ord") / per).cast("string"))).select("key", "n_bytes", "shard"))
+            sums = parts.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+            done.append(parts.join(sums, "shard").select("key", "n_bytes", "shard", "shard_bytes"))
             break
         open_rows, depth = st.save(rest), high
-    lone = F.concat(_bits(F.col("__h"), MAX_BITS), F.lit("!"), F.col("key").cast("string"))
-    out = alone.select("key", "n_bytes", F.coalesce(lone, F.lit("!null")).alias("shard"), F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversize"))
+    lone = F.concat(_bits(F.col("__h"), MAX_BITS), F.lit("!"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("+"), F.col("__ord").cast("string"))
+    out = ordinals(alone, ["key"], st).select("key", "n_bytes", lone.alias("shard"), F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversize"))
     for d in done:
         out = out.unionByName(d.withColumn("oversize", F.lit(False)))
     return out
