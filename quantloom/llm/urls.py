@@ -4,7 +4,8 @@ The cascade holds a set of listed keys exactly, over a known universe of keys. L
 keys; level 2 a filter of those other keys of the universe that level 1 lets through; level 3 of the listed keys that
 level 2 lets through, and so on until nothing is let through wrongly. A key of the universe is listed if the first level
 that rejects it is even, or if none does and the number of levels is odd. No join is needed to ask: a level is a vector of
-64-bit words that a scalar subquery puts into the expression.
+64-bit words that a scalar subquery puts into the expression. A universe whose levels would pass MAX_WORDS is dealt by hash over
+cascades of its parts, which are asked one after the other, so that no more than one part's vectors are ever held.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._common import Stages
 
-#: Longest vector of words of one level (8 MB); build() refuses more keys, which then need more shards.
+#: Longest vector of words of one level (8 MB); build() refuses more keys, and cascades() deals them over parts.
 MAX_WORDS = 1 << 20
 #: Bits set for each key in its word.
 BITS = 4
@@ -72,9 +73,28 @@ class Cascade:
         return out
 
 
-def build(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0) -> Cascade:
+class TooManyKeys(ValueError):
+    """A level would be longer than allowed."""
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(4099)), F.lit(parts))
+
+
+def cascades(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0, max_words: int = MAX_WORDS) -> list[Cascade]:
+    """A cascade for each part of the keys by part_of(), as few parts as keep every level within max_words."""
+    parts = 1
+    while True:
+        try:
+            own = lambda df, j, n=parts: df.filter(part_of(F.col("key"), n) == j)
+            return [build(own(listed, j), own(universe, j), bits_per_key=bits_per_key, max_words=max_words) for j in range(parts)]
+        except TooManyKeys:
+            parts *= 2
+
+
+def build(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0, max_words: int = MAX_WORDS) -> Cascade:
     """listed, universe: one column key, distinct, not null; keys listed but outside the universe are never asked for and
-    are left out. Each level has at most MAX_WORDS words."""
+    are left out. Each level has at most max_words words."""
     spark = universe.sparkSession
     st = Stages(spark, "cascade")
     u = universe.select("key").distinct().withColumn("__u", F.lit(1))
@@ -87,8 +107,8 @@ def build(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0)
         if not n and levels:
             break
         words = max(1, math.ceil(n * bits_per_key / 64))
-        if words > MAX_WORDS:
-            raise ValueError(f"{n} keys at one level; split the keys by hash and build a cascade for each part")
+        if words > max_words:
+            raise TooManyKeys(f"{n} keys at one level")
         i = len(levels)
         filled = current.groupBy(_slot(F.col("key"), i, words).alias("slot")).agg(F.bit_or(_mask(F.col("key"), i)).alias("word"))
         empty = spark.range(words).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("word"))
@@ -101,7 +121,7 @@ def build(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0)
     return Cascade(levels)
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, bits_per_key: float = 10.0) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, bits_per_key: float = 10.0, max_words: int = MAX_WORDS) -> DataFrame:
     """A verdict for every row of pages (page_id, url; other columns ignored).
 
     rules: (verdict, host, path). A rule fits its host and all subdomains if the url's path starts with the rule's; the
@@ -110,19 +130,27 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     Returns page_id, host, path, rule (host and path; null if none), listed (boolean), verdict.
 
     Null urls and those without :// have an empty host and path, which no rule with a host fits and no list holds. Rows that
-    repeat are judged one by one; an empty table gives an empty result; an empty list blocks nothing.
+    repeat are judged one by one; a null page_id stays null; long urls are read whole; an empty table gives an empty result; an
+    empty list blocks nothing.
     """
     st = Stages(pages.sparkSession, "urls")
     p = st.save(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
     universe = p.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
-    cascade = build(listed, universe, bits_per_key=bits_per_key)
+    parts = cascades(listed, st.save(universe), bits_per_key=bits_per_key, max_words=max_words)
+    for j, cascade in enumerate(parts):
+        before = p
+        mine = lambda key, j=j, cascade=cascade: (part_of(key, len(parts)) == j) & cascade.contains(key)
+        asked = p.select("*", suffixes(F.col("host")).alias("__suffixes"), *cascade.vectors())
+        hit = F.exists("__suffixes", mine if len(parts) > 1 else cascade.contains)
+        p = asked.select("page_id", "host", "path", (F.col("listed") | hit if j else hit).alias("listed"))
+        if j + 1 < len(parts):
+            p = st.save(p)
+            st.drop(before)
     rule = F.lit(None).cast("string")
     ruled = F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r)):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule = F.when(fits, F.lit(host + path)).otherwise(rule)
         ruled = F.when(fits, F.lit(verdict)).otherwise(ruled)
-    asked = p.select("*", suffixes(F.col("host")).alias("__suffixes"), *cascade.vectors())
-    hit = F.exists("__suffixes", cascade.contains)
-    out = asked.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("__ruled"), hit.alias("listed"))
+    out = p.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("__ruled"), "listed")
     return out.withColumn("verdict", F.coalesce("__ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).drop("__ruled")
