@@ -3,13 +3,15 @@
 DataFrame functions only. Templates are names, titles, usual headers and sentences of full license texts. Every sentence of a
 text, by lines and with wrapped lines joined, is a sparse vector over the templates' vocabulary plus one weight for each word
 outside it. Document frequencies of the vocabulary are counted over all texts; all weights have bounds that do not depend on
-the table. A template's naming words (names, versions) must stand in the sentence.
+the table; a word that stands c times in a sentence or template weighs 1 + ln c times as much. A template's naming words (names,
+versions) and one of its anchor words must stand in the sentence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,8 +89,9 @@ TEMPLATES = (
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted.", 1),
     ("Proprietary", "Copyright. All rights reserved.", 2),
 )
-#: Words that name a license; a sentence without any states none.
-ANCHORS = ("license", "licensed", "copyright", "permission", "redistribution", "unlicense", "waived", "unencumbered", "gpl", "gplv2", "gplv3", "lgplv2.1", "lgplv3", "agplv3", "spdx-license-identifier", "cc")
+#: Words that speak of a license. A sentence must have one that its template has, so that sentences without any of them, which
+#: are left out beforehand, could fit no template.
+ANCHORS = ("license", "licensed", "copyright", "permission", "redistribution", "unlicense", "waived", "unencumbered", "gpl", "lgpl", "agpl", "gplv2", "gplv3", "lgplv2.1", "lgplv3", "agplv3", "spdx-license-identifier", "cc")
 MIN_COSINE = 0.7
 #: Names: a template's must stand in the sentence. Those in OTHERS must not, unless the template has them.
 OTHERS = frozenset("lesser affero lgpl agpl lgplv2.1 lgplv3 agplv3 by-nc by-sa by-nd by-nc-sa by-nc-nd attribution-noncommercial attribution-sharealike noncommercial sharealike 2-clause 3-clause simplified new".split())
@@ -104,14 +107,20 @@ _PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 _VERSION = r"^v(?=[0-9])|(?<=[0-9])\.0$"
 
 
-def _tokens_py(text: str) -> list[str]:
+def _tokens_py(text: str) -> dict[str, int]:
+    """Each token and how often it stands there, in order."""
     tokens = (re.sub(_VERSION, "", t.strip(".-")) for t in re.split(_TOKEN, text.lower().replace("licence", "license")))
-    return sorted({x for x in tokens if x})
+    return dict(sorted(Counter(x for x in tokens if x).items()))
 
 
 def _tokens(text: Column) -> Column:
+    """All tokens, ordered."""
     words = F.split(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), _TOKEN)
-    return F.array_distinct(F.filter(F.transform(words, lambda x: F.regexp_replace(F.btrim(x, F.lit(".-")), _VERSION, "")), lambda x: x != ""))
+    return F.sort_array(F.filter(F.transform(words, lambda x: F.regexp_replace(F.btrim(x, F.lit(".-")), _VERSION, "")), lambda x: x != ""))
+
+
+def _tf(count: Column) -> Column:
+    return F.lit(1.0) + F.log(count.cast("double"))
 
 
 def _is_name(token: str) -> bool:
@@ -124,14 +133,18 @@ _FORMS = {f: t for t in VOCABULARY for f in ((t, f"v{t}", f"{t}.0", f"v{t}.0") i
 
 
 def _sentences(files: DataFrame) -> DataFrame:
-    """file_id and the tokens of each distinct sentence that holds an anchor word: of each line, and of paragraphs with
-    their lines joined."""
+    """file_id, tokens (distinct, ordered) and counts of each distinct sentence that holds an anchor word: of each line, and
+    of paragraphs with their lines joined."""
     quick = r"(?i)(licen[cs]e|copyright|permission|redistribution|waived|unencumbered|gpl|\bcc\b)"
     lines = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(quick)), lambda x: F.split(x, _ENDS)))
     joined = F.transform(F.filter(F.split("text", _PARAGRAPHS), lambda x: x.rlike(quick) & x.contains("\n")), lambda x: F.split(F.translate(x, "\n", " "), _ENDS))
     s = files.filter(F.col("text").rlike(quick)).select("file_id", F.explode(F.filter(F.array_union(lines, F.flatten(joined)), lambda x: x.rlike(quick))).alias("__s"))
     anchors = F.array(*map(F.lit, ANCHORS))
-    return s.select("file_id", _tokens(F.col("__s")).alias("tokens")).filter(F.arrays_overlap("tokens", anchors))
+    s = s.select("file_id", _tokens(F.col("__s")).alias("__all")).filter(F.arrays_overlap("__all", anchors)).distinct()
+    first = F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
+    s = s.withColumn("__first", first)
+    ends = F.concat(F.slice("__first", F.lit(2), F.size("__first")), F.array(F.size("__all")))
+    return s.select("file_id", F.transform("__first", lambda i: F.get("__all", i)).alias("tokens"), F.zip_with("__first", ends, lambda a, z: z - a).alias("counts"))
 
 
 def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -161,18 +174,22 @@ def detect(files: DataFrame, *, templates=TEMPLATES, min_cosine: float = MIN_COS
     n, df = frequencies(files)
     idf = weights(n, df, sorted(set(VOCABULARY) | {t for _, x, _ in templates for t in _tokens_py(x)}))
     table = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(v))])
-    s = _sentences(files).distinct()
-    norm = F.sqrt(F.aggregate(F.transform("tokens", lambda x: F.coalesce(F.try_element_at(table, x), F.lit(OUTSIDE))), F.lit(0.0), lambda a, x: a + x * x))
-    s = s.select("file_id", "tokens", norm.alias("norm"), F.array_intersect("tokens", F.array(*map(F.lit, sorted(OTHERS)))).alias("others"))
+    s = _sentences(files)
+    norm = F.sqrt(F.aggregate(F.zip_with("tokens", "counts", lambda x, c: F.coalesce(F.try_element_at(table, x), F.lit(OUTSIDE)) * _tf(c)), F.lit(0.0), lambda a, x: a + x * x))
+    s = s.select("file_id", "tokens", "counts", norm.alias("norm"), F.array_intersect("tokens", F.array(*map(F.lit, sorted(OTHERS)))).alias("others"))
     forms = []
     for name, text, rank in templates:
         own = _tokens_py(text)
         must = [t for t in own if _is_name(t)]
-        words = F.array(*[F.struct(F.lit(t).alias("w"), F.lit(idf[t] ** 2).alias("sq")) for t in own])
-        length = math.sqrt(sum(idf[t] ** 2 for t in own))
-        forms.append(F.struct(F.lit(name).alias("license"), F.lit(rank).alias("rank"), words.alias("words"), F.lit(length).alias("length"), F.array(*map(F.lit, must)).cast("array<string>").alias("must"), F.array(*map(F.lit, own)).alias("own")))
-    fits = F.filter(F.array(*forms), lambda t: (F.size(F.array_except(t["must"], F.col("tokens"))) == 0) & (F.size(F.array_except(F.col("others"), t["own"])) == 0))
-    dot = lambda t: F.aggregate(t["words"], F.lit(0.0), lambda a, x: a + F.when(F.array_contains(F.col("tokens"), x["w"]), x["sq"]).otherwise(F.lit(0.0)))
+        tf = {t: 1 + math.log(c) for t, c in own.items()}
+        words = F.array(*[F.struct(F.lit(t).alias("w"), F.lit(idf[t] ** 2 * tf[t]).alias("x")) for t in own])
+        length = math.sqrt(sum((idf[t] * tf[t]) ** 2 for t in own))
+        texts = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+        forms.append(F.struct(F.lit(name).alias("license"), F.lit(rank).alias("rank"), words.alias("words"), F.lit(length).alias("length"), texts(must).alias("must"), texts(t for t in own if t in ANCHORS).alias("anchors"), texts(own).alias("own")))
+    holds = lambda t: (F.size(F.array_except(t["must"], F.col("tokens"))) == 0) & F.arrays_overlap(t["anchors"], F.col("tokens")) & (F.size(F.array_except(F.col("others"), t["own"])) == 0)
+    fits = F.filter(F.array(*forms), holds)
+    tf_of = lambda w: F.coalesce(_tf(F.get("counts", F.array_position("tokens", w).cast("int") - 1)), F.lit(0.0))
+    dot = lambda t: F.aggregate(t["words"], F.lit(0.0), lambda a, x: a + x["x"] * tf_of(x["w"]))
     scored = F.transform(fits, lambda t: F.struct((dot(t) / (F.col("norm") * t["length"])).alias("cosine"), t["license"].alias("license"), t["rank"].alias("rank")))
     s = s.select("file_id", F.explode(scored).alias("m")).filter(F.col("m.cosine") >= min_cosine)
     first = F.min(F.struct("m.rank", (-F.round("m.cosine", 9)).alias("__c"), F.col("m.license").alias("license"), F.col("m.cosine").alias("cosine")))
@@ -194,7 +211,7 @@ def license_scan(files: DataFrame, *, templates=TEMPLATES, min_cosine: float = M
 
     Null texts state nothing and inherit; a null path is in no directory and inherits nothing. Of several license files in
     a directory the highest cosine, then the smaller name counts. Rows that repeat a file_id share the best sentence of
-    all of them. Empty tables give an empty result.
+    all of them. Long texts are read whole. Empty tables give an empty result.
     """
     st = Stages(files.sparkSession, "licenses")
     f = files.select("file_id", "path", "text", F.coalesce("is_license", F.lit(False)).alias("is_license"))
