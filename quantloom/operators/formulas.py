@@ -70,8 +70,15 @@ def formula(name: str, **params):
 
 
 def scaled(params: dict[str, float], by: int) -> dict[str, float]:
-    """Integer windows above 30 divided by `by`, 4 at least."""
-    return {k: max(4, x // by) if isinstance(x, int) and x > 30 else x for k, x in params.items()}
+    """The windows of a formula that has one above 30: whole numbers from 12 on are divided by `by`, 4 at least, and keep
+    their order."""
+    windows = sorted((x, k) for k, x in params.items() if isinstance(x, int) and not isinstance(x, bool) and x >= 12)
+    out, last = dict(params), (0, 3)
+    if windows and windows[-1][0] > 30:
+        for x, k in windows:
+            out[k] = last[1] if x == last[0] else max(last[1] + 1, x // by)
+            last = (x, out[k])
+    return out
 
 
 def build(name: str, by: int = 1) -> Node:

@@ -64,7 +64,6 @@ _Q: dict[str, str] = {
     "quantile_book": """SELECT symbol, bar_idx, round(w, 6) AS w FROM {book} b""",
     "backtest_daily": """SELECT bar_idx, round(sum(held * r), 6) AS gross, round(sum(abs(held - coalesce(prev, 0))), 6) AS turnover, round(sum(held * r) - 0.001 * sum(abs(held - coalesce(prev, 0))), 6) AS net, round(-sum(held * coalesce(funding, 0)), 8) AS funding FROM
         (SELECT *, lag(held, 1) OVER (PARTITION BY symbol ORDER BY bar_idx) AS prev FROM (SELECT p.symbol, p.bar_idx, coalesce(p.r, 0) AS r, p.funding, coalesce(lag(b.w, 2) OVER (PARTITION BY p.symbol ORDER BY p.bar_idx), 0) AS held FROM {ret} p LEFT JOIN {book} b ON b.symbol = p.symbol AND b.bar_idx = p.bar_idx) x) y GROUP BY bar_idx""",
-    "cost_sweep": """SELECT m.mult AS mult, round(sum(g.gross - m.mult * 0.001 * g.turnover), 6) AS net FROM (SELECT bar_idx, sum(w) AS gross, sum(abs(w)) AS turnover FROM {book} b GROUP BY bar_idx) g CROSS JOIN (SELECT 0.5 AS mult UNION ALL SELECT 1.0 UNION ALL SELECT 2.0 UNION ALL SELECT 4.0) m GROUP BY m.mult""",
     "signal_events": """SELECT symbol, CAST(i0 AS BIGINT) AS i0, CAST(side AS BIGINT) AS side FROM {events} e""",
     "barrier_labels": """SELECT symbol, CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, CAST(side AS BIGINT) AS side, CAST(barrier AS BIGINT) AS barrier, round(ret, 6) AS ret FROM {trades} t""",
     "label_uniqueness": """SELECT symbol, CAST(i0 AS BIGINT) AS i0, round(avg(1.0 / n), 6) AS uniqueness FROM (SELECT t.symbol, t.i0, t.bar, count(1) OVER (PARTITION BY t.bar) AS n FROM (SELECT symbol, i0, {span} AS bar FROM {trades} t0 WHERE i1 IS NOT NULL) t) x GROUP BY symbol, i0""",

@@ -11,18 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _by_symbol(panel: DataFrame, fn, schema: str) -> DataFrame:
-    return panel.select("symbol", "bar_idx", "close", "funding").filter("close IS NOT NULL").groupBy("symbol").applyInPandas(lambda p: fn(p.sort_values("bar_idx")), schema)
+def _by_symbol(panel: DataFrame, fn, schema: str, gaps: bool = False) -> DataFrame:
+    d = panel.select("symbol", "bar_idx", "close", "funding")
+    return (d if gaps else d.filter("close IS NOT NULL")).groupBy("symbol").applyInPandas(lambda p: fn(p.sort_values("bar_idx")), schema)
 
 
-def local_level(panel: DataFrame, q_over_r: float = 1e-2) -> DataFrame:
-    """Kalman filter of a level: y = level + noise; z is the innovation over its deviation."""
+def local_level(panel: DataFrame, q_over_r: float = 1e-5) -> DataFrame:
+    """Kalman filter of a level of log closes: y = level + noise; z is the innovation over its deviation. The state's variance
+    starts at 1, the noise is the variance of y's changes, and a missing close counts as the symbol's mean."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        y = np.log(p["close"].to_numpy())
-        rv = max(float(np.var(np.diff(y))), 1e-12) if len(y) > 1 else 1.0
-        level, var, out = y[0], rv, []
-        for v in y:
+        y = np.log(p["close"].to_numpy(float))
+        steps = np.diff(y)
+        rv = float(np.nanvar(steps)) if np.isfinite(steps).any() else 1.0
+        rv = rv if rv > 0 else 1.0
+        y = np.where(np.isnan(y), np.nanmean(y), y) if np.isfinite(y).any() else np.zeros(len(y))
+        level, var, out = y[0], 1.0, []
+        for v in y.tolist():
             var += q_over_r * rv
             s = var + rv
             e = v - level
@@ -32,40 +37,46 @@ def local_level(panel: DataFrame, q_over_r: float = 1e-2) -> DataFrame:
             out.append((level, e / np.sqrt(s)))
         return pd.DataFrame({"symbol": p["symbol"], "bar_idx": p["bar_idx"], "level": np.round([a for a, _ in out], 8), "z": np.round([b for _, b in out], 8)})
 
-    return _by_symbol(panel, run, "symbol string, bar_idx long, level double, z double")
+    return _by_symbol(panel, run, "symbol string, bar_idx long, level double, z double", gaps=True)
 
 
-def hysteresis(panel: DataFrame, enter: float = 1.0, leave: float = 0.25) -> DataFrame:
-    """Position that opens when |z| of funding passes `enter` and closes when it falls below `leave` or turns."""
+def hysteresis(panel: DataFrame, enter: float = 1.0, leave: float = 0.25, n: int = 52) -> DataFrame:
+    """A position against funding: it opens at the opposite sign when |z| reaches `enter`, closes when |z| falls below `leave` or z
+    turns, at the earliest reopens at the next bar, and is held where z is missing. z is over the last n bars, this one
+    included; bars with fewer than half of them have none."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        f = p["funding"].to_numpy(float)
-        z = (f - np.nanmean(f)) / (np.nanstd(f) + 1e-18)
+        f = p["funding"].astype(float)
+        w = f.rolling(n, min_periods=n // 2)
+        sd = w.std(ddof=1)
+        z = ((f - w.mean()) / sd.where(sd > 0)).to_numpy()
         now, out = 0, []
-        for v in z:
-            if now and (v * now < leave or v != v):
-                now = 0
-            if not now and abs(v) >= enter:
-                now = int(np.sign(v))
+        for v in z.tolist():
+            if v == v:
+                if now:
+                    now = 0 if -now * v < leave else now
+                elif abs(v) >= enter:
+                    now = -int(np.sign(v))
             out.append(now)
         return pd.DataFrame({"symbol": p["symbol"], "bar_idx": p["bar_idx"], "state": np.array(out, np.int64)})
 
-    return _by_symbol(panel, run, "symbol string, bar_idx long, state long")
+    return _by_symbol(panel, run, "symbol string, bar_idx long, state long", gaps=True)
 
 
 def ewma_variance(panel: DataFrame, lam: float = 0.94, warmup: int = 50) -> DataFrame:
-    """Variance recursion seeded with the mean of the first squares."""
+    """Variance recursion of log returns, missing ones as 0, that starts from the mean of the first `warmup` squares, or of
+    all where there are fewer."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        r = np.diff(np.log(p["close"].to_numpy()), prepend=np.nan)
-        v = np.nanmean(r[: warmup + 1] ** 2) if len(r) > 1 else np.nan
+        r2 = np.nan_to_num(np.diff(np.log(p["close"].to_numpy(float)), prepend=np.nan)) ** 2
+        v = float(r2[:warmup].mean()) if len(r2) >= warmup else float(r2.mean()) or 1e-8
         out = []
-        for x in r:
-            v = v if x != x else lam * v + (1 - lam) * x * x
+        for x in r2.tolist():
+            v = lam * v + (1 - lam) * x
             out.append(v)
         return pd.DataFrame({"symbol": p["symbol"], "bar_idx": p["bar_idx"], "variance": np.round(out, 12)})
 
-    return _by_symbol(panel, run, "symbol string, bar_idx long, variance double")
+    return _by_symbol(panel, run, "symbol string, bar_idx long, variance double", gaps=True)
 
 
 def _wide(p: pd.DataFrame) -> pd.DataFrame:
@@ -226,23 +237,27 @@ def overfitting_probability(panel: DataFrame, s: int = 8) -> DataFrame:
 
 
 def expected_max_sharpe(trials: int, variance: float) -> float:
-    """Expected maximum of so many independent trials' Sharpe ratios."""
+    """Expected maximum of so many independent trials' Sharpe ratios; 0 for one trial."""
+    if trials < 2 or variance <= 0:
+        return 0.0
     nd, g = NormalDist(), 0.5772156649015329
     return variance**0.5 * ((1 - g) * nd.inv_cdf(1 - 1 / trials) + g * nd.inv_cdf(1 - 1 / (trials * np.e)))
 
 
-def deflated_sharpe(panel: DataFrame, trials: int = 25) -> DataFrame:
-    """Probability that a symbol's Sharpe ratio is above the expected maximum of the trials; moments in one aggregation."""
+def deflated_sharpe(panel: DataFrame, trials: int | None = None) -> DataFrame:
+    """Probability that a symbol's Sharpe ratio is above the expected maximum of the trials: as many as there are symbols, or
+    `trials`, with the symbols' variance of ratios. Moments come from one aggregation."""
     r = panel.selectExpr("symbol", "ln(close) - lag(ln(close), 1) OVER (PARTITION BY symbol ORDER BY bar_idx) AS r")
     m = r.groupBy("symbol").agg(F.count("r").alias("n"), (F.avg("r") / F.stddev_samp("r")).alias("sr"), F.skewness("r").alias("sk"), (F.kurtosis("r") + 3).alias("ku"))
-    bar = expected_max_sharpe(trials, 1 / 300)
+    all_ = m.agg(F.count("sr").alias("__k"), F.coalesce(F.var_samp("sr"), F.lit(0.0)).alias("__v"))
 
     def run(it):
         for p in it:
-            z = (p.sr - bar) * np.sqrt(p.n - 1) / np.sqrt(1 - p.sk * p.sr + (p.ku - 1) / 4 * p.sr**2)
+            bar = np.array([expected_max_sharpe(int(trials or k), float(v)) for k, v in zip(p["__k"], p["__v"], strict=True)])
+            z = (p.sr - bar) * np.sqrt(p.n - 1) / np.sqrt(np.maximum(1 - p.sk * p.sr + (p.ku - 1) / 4 * p.sr**2, 1e-12))
             yield pd.DataFrame({"symbol": p.symbol, "sharpe": p.sr, "dsr": [NormalDist().cdf(x) if x == x else None for x in z]})
 
-    return m.mapInPandas(run, "symbol string, sharpe double, dsr double")
+    return m.join(F.broadcast(all_)).mapInPandas(run, "symbol string, sharpe double, dsr double")
 
 
 OPERATORS = {

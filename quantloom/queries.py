@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom import studies
 from quantloom.functions.expr import Node, op
 from quantloom.operators import features, formulas, market, recursive
 from quantloom.plans.compile import Plan
@@ -63,12 +64,13 @@ def market_query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(signals, names=v) for k, v in groups().items()}
     out |= {k: partial(market_query, name=k) for k in market.NAMES}
+    out |= studies.QUERIES
     return out | {k: partial(lambda spark, sf_dir, f: f(adapters.panel(spark, sf_dir)), f=f) for k, f in recursive.OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: signals_sql(v) for k, v in groups().items() if not set(v) & NO_SQL}
-    return out | {k: market.duck_sql(k) for k in market.NAMES}
+    return out | {k: market.duck_sql(k) for k in market.NAMES} | studies.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

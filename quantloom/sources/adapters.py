@@ -65,7 +65,7 @@ def densify(bars: DataFrame) -> DataFrame:
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = weekly_bars(spark, sf_dir)
     out = densify(bars).join(bars, ["symbol", "bar_idx"], "left")
-    run = F.expr("100000000.0D + sum(oi_step) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)")
+    run = F.expr("20.0D * avg(volume) OVER (PARTITION BY symbol) + sum(oi_step) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)")
     out = out.withColumn("oi_usd", F.when(F.col("close").isNotNull(), run)).withColumn("mark", F.col("close")).withColumn("index_price", F.expr("close * (1 + basis)"))
     ref = F.expr(f"max(CASE WHEN symbol = '{REF_SYMBOL}' THEN lr END) OVER (PARTITION BY ts)")
     out = out.withColumn("lr", F.expr("ln(close) - lag(ln(close), 1) OVER (PARTITION BY symbol ORDER BY bar_idx)"))
@@ -83,7 +83,7 @@ def panel_sql() -> str:
     grid AS (SELECT s.symbol, t.bar_idx, t.bar_idx AS ts FROM (SELECT DISTINCT symbol FROM weekly) s
         CROSS JOIN (SELECT unnest(generate_series((SELECT min(bar_idx) FROM weekly), (SELECT max(bar_idx) FROM weekly))) AS bar_idx) t),
     full_ AS (SELECT g.symbol, g.bar_idx, g.ts, {', '.join('b.' + n for n in _AGGS)},
-        CASE WHEN b.close IS NOT NULL THEN 100000000.0 + sum(b.oi_step) OVER (PARTITION BY g.symbol ORDER BY g.bar_idx ROWS UNBOUNDED PRECEDING) END AS oi_usd,
+        CASE WHEN b.close IS NOT NULL THEN CAST(20.0 AS DOUBLE) * avg(b.volume) OVER (PARTITION BY g.symbol) + sum(b.oi_step) OVER (PARTITION BY g.symbol ORDER BY g.bar_idx ROWS UNBOUNDED PRECEDING) END AS oi_usd,
         b.close AS mark, b.close * (1 + b.basis) AS index_price,
         ln(b.close) - lag(ln(b.close), 1) OVER (PARTITION BY g.symbol ORDER BY g.bar_idx) AS lr
         FROM grid g LEFT JOIN weekly b ON g.symbol = b.symbol AND g.bar_idx = b.bar_idx)
