@@ -149,7 +149,7 @@ def solve_barriers(stats: DataFrame, *, cost: float = 0.0015, horizon: int = 12,
     """stats: symbol, mu, sigma of a bar. Adds pt_mult and sl_mult, in units of sigma * sqrt(horizon), of the greatest expected
     value (ties to the smaller multiples), ev and p_tp. Without a positive sigma: 2, 1.5 and null."""
     g = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a in grid for b in grid])
-    d = stats.withColumn("__s", F.col("sigma") * math.sqrt(horizon)).withColumn("__m", F.col("mu") * F.lit(float(horizon)))
+    d = stats.withColumn("__s", F.when(F.col("sigma") > 0, F.col("sigma") * math.sqrt(horizon))).withColumn("__m", F.col("mu") * F.lit(float(horizon)))
     d = d.select("*", F.explode(g).alias("g"))
     up, down, z = F.col("g.a") * F.col("__s"), F.col("g.b") * F.col("__s"), 2 * F.col("__m") / F.pow("__s", 2)
     p = F.when(F.abs("__m") < 1e-12, down / (up + down)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expm1(-z * down) / F.expm1(-z * (up + down)))))

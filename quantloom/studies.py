@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,10 @@ from quantloom.operators import backtest as B
 from quantloom.operators import execution as X
 from quantloom.operators import inference as I
 from quantloom.operators import relational as R
-from quantloom.sources import adapters
+from quantloom.operators import tape
+from quantloom.research import harness as H
+from quantloom.sources import adapters, archives
+from quantloom.streaming import bars as S
 
 COSTS = B.Costs(taker_fee=0.00045, slippage_bps=1.0)
 #: Gross weight of the book, and slots of trades: small, as weekly prices of these tables jump by multiples.
@@ -377,3 +382,119 @@ def hedge_ratio(spark, sf_dir):
 
 QUERIES |= {k: (lambda spark, sf_dir, f=f: f(_panel(spark, sf_dir))) for k, (f, _) in R.STEPS.items()}
 SQL |= {k: f"{_BASE} {sql}" for k, (_, sql) in R.STEPS.items()}
+
+# tape, archives, streams, checks
+
+_TRADES = """WITH t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, (1 + user_id % 7)::DOUBLE AS qty, CASE WHEN user_id % 2 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM events)"""
+_TAPE_COLS = ("ofi_usd", "n_trades", "notional", "kyle_lambda", "vwap", "open", "high", "low", "close", "big_trade_imb", "trade_sign_ac1", "roll_spread_bps", "realised_vol", "buy_frac", "aggr_imb", "avg_trade_usd", "intensity", "ret", "twap_ret", "cum_delta")
+
+
+@_query(f"""{_TRADES}, a AS (SELECT *, date_trunc('day', ts) AS bar, CAST(ts AS DATE) AS day, price * qty AS nz, s * sqrt(price * qty) AS x FROM t),
+b AS (SELECT *, coalesce(price - lag(price) OVER d, 0) AS dp, lag(s) OVER r AS s1, ln(price / lag(price) OVER r) AS dl FROM a WINDOW d AS (PARTITION BY symbol, day ORDER BY ts, seq), r AS (PARTITION BY symbol, bar ORDER BY ts, seq)),
+c AS (SELECT *, lag(dl) OVER (PARTITION BY symbol, bar ORDER BY ts, seq) AS dl1 FROM b), q AS (SELECT symbol, day, quantile_cont(nz, 0.9) AS p90, count(*) AS n_day FROM a GROUP BY symbol, day),
+g AS (SELECT symbol, bar, sum(s * nz) AS ofi_usd, count(*)::DOUBLE AS n_trades, sum(nz) AS notional, CASE WHEN count(*) > 5 AND count(*) * sum(x * x) - sum(x) * sum(x) <> 0 THEN (count(*) * sum(x * dp) - sum(x) * sum(dp)) / (count(*) * sum(x * x) - sum(x) * sum(x)) END AS kyle_lambda, sum(price * nz) / sum(nz) AS vwap,
+  first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, sum(s * nz) FILTER (nz >= p90) / sum(nz) FILTER (nz >= p90) AS big_trade_imb,
+  CASE WHEN count(s1) > 4 AND 1 - avg(s) * avg(s) > 1e-9 THEN (avg(s * s1) - avg(s) * avg(s)) / (1 - avg(s) * avg(s)) END AS trade_sign_ac1,
+  CASE WHEN count(dl * dl1) > 2 THEN CASE WHEN avg(dl * dl1) < 0 THEN 20000 * sqrt(-avg(dl * dl1)) ELSE 0 END END AS roll_spread_bps, CASE WHEN count(dl) > 2 THEN sqrt(avg(dl * dl)) END AS realised_vol, sum(nz) FILTER (s > 0) AS buy
+  FROM c JOIN q USING (symbol, day) WHERE n_day >= 3 GROUP BY symbol, bar),
+h AS (SELECT *, coalesce(buy, 0) / notional AS buy_frac, ofi_usd / notional AS aggr_imb, notional / n_trades AS avg_trade_usd, n_trades / 86400 AS intensity, ln(close / open) AS ret, ln(vwap / lag(vwap) OVER w) AS twap_ret, sum(ofi_usd) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS cum_delta FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bar))
+SELECT symbol, CAST(CAST(bar AS DATE) AS VARCHAR) AS bar, {_round({c: c for c in _TAPE_COLS}, 5)} FROM h""")
+def tape_bars_full(spark, sf_dir):
+    d = tape.tape_bars(S.events_as_trades(spark, sf_dir, streaming=False), minutes=1440, least=3)
+    return _rounded(d.select("symbol", F.to_date("bar").cast("string").alias("bar"), *_TAPE_COLS), 5)
+
+
+_DEPTH_COLS = ("depth_imb_1pct", "depth_imb_5pct", "imb_vol", "book_slope", "total_depth", "microprice_tilt", "depth_withdraw")
+
+
+@_query(f"""WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS dt, [-5, -1, 1, 5][1 + event_id % 4] AS p, value AS notional, value / (1 + user_id % 7) AS depth, event_id AS seq FROM events),
+l AS (SELECT symbol, dt, p, arg_max(notional, seq) AS v, arg_max(depth, seq) AS d FROM b GROUP BY symbol, dt, p),
+s AS (SELECT symbol, dt, max(v) FILTER (p = -1) AS b1, max(v) FILTER (p = 1) AS a1, max(v) FILTER (p = -5) AS b5, max(v) FILTER (p = 5) AS a5, max(d) FILTER (p = -1) AS db, max(d) FILTER (p = 1) AS da FROM l GROUP BY symbol, dt),
+f AS (SELECT symbol, date_trunc('day', dt) AS bar, (b1 - a1) / (b1 + a1) AS i1, (b5 - a5) / (b5 + a5) AS i5, (b1 / b5 + a1 / a5) / 2 AS sl, b5 + a5 AS tot, (db - da) / (db + da) AS mp FROM s),
+g AS (SELECT symbol, bar, avg(i1) AS depth_imb_1pct, avg(i5) AS depth_imb_5pct, stddev_samp(i1) AS imb_vol, quantile_cont(sl, 0.5) AS book_slope, avg(tot) AS total_depth, avg(mp) AS microprice_tilt, count(i1) AS n_snap FROM f GROUP BY symbol, bar),
+h AS (SELECT *, total_depth / lag(total_depth) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS depth_withdraw FROM g)
+SELECT symbol, CAST(CAST(bar AS DATE) AS VARCHAR) AS bar, n_snap, {_round({c: c for c in _DEPTH_COLS})} FROM h WHERE n_snap > 0""")
+def depth_bars_full(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    band = F.get(F.array(*[F.lit(float(x)) for x in (-5, -1, 1, 5)]), (F.col("event_id") % 4).cast("int"))
+    d = e.select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("dt"), band.alias("percentage"), F.col("value").alias("notional"), (F.col("value") / (1 + F.col("user_id") % 7)).alias("depth"), F.col("event_id").alias("seq"))
+    return _rounded(tape.depth_bars(d, minutes=1440).select("symbol", F.to_date("bar").cast("string").alias("bar"), "n_snap", *_DEPTH_COLS))
+
+
+def _archive(spark, sf_dir, kind: str, line, header: str) -> DataFrame:
+    """Events as lines of an archive of the kind, a header in every file and each line twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = e.select(F.concat(F.lit("/x/"), F.col("event_type"), F.lit(f"-{kind}-2024.csv")).alias("path"), F.lit(header).alias("header"), F.concat_ws(",", *line).alias("line"))
+    heads = lines.select("path", "header", F.col("header").alias("line")).distinct()
+    return archives.parse(lines.unionByName(lines).unionByName(heads), kind)
+
+
+@_query("SELECT event_type AS symbol, event_id AS agg_id, value AS price, (1 + user_id % 7)::DOUBLE AS qty, epoch_us(ts) // 1000 AS ts, user_id % 2 = 1 AS is_buyer_maker FROM events")
+def archive_trades(spark, sf_dir):
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    # half of the files' times are in microseconds
+    time = F.when(F.col("event_id") % 2 == 0, t * 1000).otherwise(t)
+    line = [F.col("event_id"), F.col("value"), 1 + F.col("user_id") % 7, F.col("event_id"), F.col("event_id"), time, F.when(F.col("user_id") % 2 == 1, "True").otherwise("false")]
+    return _archive(spark, sf_dir, "trades", line, "agg_trade_id,price,quantity,first,last,transact_time,is_buyer_maker").select("symbol", "agg_id", "price", "qty", "ts", "is_buyer_maker")
+
+
+@_query("""WITH e AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, CASE WHEN user_id % 2 = 1 THEN 'SELL' ELSE 'BUY' END AS side, (1 + user_id % 7)::DOUBLE AS q, value AS p FROM events),
+g AS (SELECT symbol, ts, coalesce(sum(q) FILTER (side = 'SELL'), 0) * 100 AS sold, coalesce(sum(q) FILTER (side = 'BUY'), 0) * 100 AS bought, count(*) AS n, sum(p * q) / sum(q) AS vwap FROM e GROUP BY symbol, ts),
+h AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM g GROUP BY symbol)
+SELECT h.symbol, epoch(h.ts)::BIGINT AS hour, coalesce(sold, 0)::DOUBLE AS sold, coalesce(bought, 0)::DOUBLE AS bought, coalesce(n, 0) AS n, round(vwap, 9) AS vwap, round((sold - bought) / nullif(sold + bought, 0), 6) AS imbalance FROM h LEFT JOIN g ON g.symbol = h.symbol AND g.ts = h.ts""")
+def archive_liquidations(spark, sf_dir):
+    line = [F.unix_millis(F.col("ts").cast("timestamp")), F.lit("x"), F.when(F.col("user_id") % 2 == 1, "SELL").otherwise("BUY"), F.col("value"), 1 + F.col("user_id") % 7]
+    d = _archive(spark, sf_dir, "liquidations", line, "time,type,side,average_price,last_fill_quantity")
+    return archives.hourly_liquidations(d).select("symbol", F.unix_seconds("ts").alias("hour"), "sold", "bought", "n", F.round("vwap", 9).alias("vwap"), F.round("imbalance", 6).alias("imbalance"))
+
+
+@_query("""WITH q AS (SELECT event_type AS symbol, event_id AS seq, epoch_us(ts) // 1000 AS t, value AS bid, value * (1 + (user_id % 5) * 0.001::DOUBLE) AS ask, (1 + user_id % 7) * value AS bq FROM events),
+s AS (SELECT *, (ask - bid) / ((ask + bid) / 2) * 10000 AS sp, (t - lag(t) OVER (PARTITION BY symbol ORDER BY t, seq)) / 1000.0::DOUBLE AS gap FROM q)
+SELECT symbol, count(*) AS n_updates, round(quantile_cont(sp, 0.5) FILTER (sp > 0 AND sp < 200), 5) AS spread_bps_median, round(quantile_cont(sp, 0.25) FILTER (sp > 0 AND sp < 200), 5) AS spread_bps_p25, round(quantile_cont(sp, 0.75) FILTER (sp > 0 AND sp < 200), 5) AS spread_bps_p75,
+round(quantile_cont(bq, 0.5), 5) AS bid_notional_median, round(avg(gap) FILTER (gap >= 0 AND gap < 60), 5) AS mean_gap FROM s GROUP BY symbol""")
+def archive_quotes(spark, sf_dir):
+    ask = F.col("value") * (1 + (F.col("user_id") % 5) * 0.001)
+    line = [F.col("event_id"), F.col("value"), 1 + F.col("user_id") % 7, ask, F.lit(1.0), F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0)]
+    d = archives.quote_stats(_archive(spark, sf_dir, "quotes", line, "update_id,best_bid_price,best_bid_qty,best_ask_price,best_ask_qty,transaction_time,event_time"))
+    return d.select("symbol", "n_updates", *[F.round(c, 5).alias(c) for c in ("spread_bps_median", "spread_bps_p25", "spread_bps_p75", "bid_notional_median")], F.round(1 / F.col("quote_update_hz"), 5).alias("mean_gap"))
+
+
+def _stream_dir(spark: SparkSession) -> str:
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{path or 'file://' + tempfile.mkdtemp(prefix='quantloom-')}/stream-{uuid.uuid4().hex}"
+
+
+@_query("""WITH t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, value * (1 + user_id % 7) AS nz, user_id % 2 = 1 AS sold FROM events)
+SELECT symbol, epoch(date_trunc('hour', ts))::BIGINT AS bar, count(*) AS n_trades, round(sum(nz), 5) AS notional, round(sum(CASE WHEN sold THEN -nz ELSE nz END), 5) AS ofi_usd, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close
+FROM t GROUP BY symbol, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_bars(spark, sf_dir):
+    d = S.drain(S.trade_bars(S.events_as_trades(spark, sf_dir)), _stream_dir(spark))
+    return d.select("symbol", F.unix_seconds("bar").alias("bar"), "n_trades", F.round("notional", 5).alias("notional"), F.round("ofi_usd", 5).alias("ofi_usd"), "open", "high", "low", "close")
+
+
+@_query()
+def stream_level(spark, sf_dir):
+    return _rounded(S.drain(S.online_level(S.events_as_trades(spark, sf_dir)), _stream_dir(spark)))
+
+
+@_query()
+def causality_checks(spark, sf_dir):
+    """The score looks at no later bar; the forward return, as a counterexample, does."""
+    p, bars = _panel(spark, sf_dir), [120, 200, 300]
+    ahead = lambda d: B.returns(d).withColumnRenamed("forward", "score")
+    out = None
+    for name, f in (("score", B.momentum_score), ("forward", ahead)):
+        for check, run in (("future", H.future_perturbation), ("prefix", H.prefix_stability)):
+            d = run(p, f, bars).select(F.lit(name).alias("signal"), F.lit(check).alias("check"), "bar_idx", "passed")
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+@_query()
+def threshold_grid(spark, sf_dir):
+    """Figures of the event backtest for a grid of thresholds and holding times, with verdicts and places."""
+    p = _scored(spark, sf_dir)
+    run = lambda entry, hold: B.trade_stats(B.event_backtest(p, B.Events(entry=entry, barriers=B.Barriers(max_hold=hold))), slots=SLOTS)
+    return _rounded(H.rank_runs(H.Gates().judge(H.run_grid(run, {"entry": [1.5, 2.0], "hold": [6, 12]}))), 4)
