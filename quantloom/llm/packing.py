@@ -160,13 +160,13 @@ def _oracle(lengths: np.ndarray, last: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def relax(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int = 16, eta: float = 0.25, gap: float = 0.002) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The covering program by multiplicative weights: (configurations, sequences of each, prices, bound). It ends when the mean
+def relax(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int = 16, eta: float = 0.25, gap: float = 0.002) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, float]:
+    """The covering program by multiplicative weights: (configurations as places and counts, sequences of each, prices, bound). It ends when the mean
     solution is within `gap` of the bound and what it lacks below `gap` of the pieces' volume, or after `rounds`."""
     volume = float(lengths @ counts)
     price = lengths / capacity
     total, bound, used = np.zeros(len(lengths)), 0.0, 0.0
-    mean: dict[bytes, list] = {}
+    mean: dict[tuple[bytes, bytes], float] = {}
     for t in range(1, rounds + 1):
         best, last = _table(lengths, price, capacity)
         if (b := float(price @ counts) / best[capacity]) > bound:
@@ -181,12 +181,16 @@ def relax(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int
         used += float(x.sum())
         price = price * np.exp(-eta * np.clip(cover - 1, -1, 1))
         price /= price.max()
-        for c, n in zip(configs, x.tolist(), strict=True):
-            mean.setdefault(c.tobytes(), [c, 0.0])[1] += n
+        rows, at = np.nonzero(configs)
+        values, edge = configs[rows, at].astype(np.int32), np.searchsorted(rows, np.arange(1, len(lengths)))
+        for i, (c, v) in enumerate(zip(np.split(at.astype(np.int32), edge), np.split(values, edge), strict=True)):
+            key = c.tobytes(), v.tobytes()
+            mean[key] = mean.get(key, 0.0) + float(x[i])
         lacks = float((np.maximum(0, 1 - total / t) * counts) @ lengths)
         if lacks < gap * volume and used / t < (1 + gap) * bound:
             break
-    return np.array([c for c, _ in mean.values()]), np.array([n / t for _, n in mean.values()]), dual, bound
+    configs = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.int32)) for c, v in mean]
+    return configs, np.array(list(mean.values())) / t, dual, bound
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, **options) -> Plan:
@@ -202,18 +206,17 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, **options) -> Pla
     counts = np.array(list(left.values()), np.int64)
     rem = counts.copy()
 
-    def take(config: np.ndarray, times: int) -> None:
-        at = np.flatnonzero(config)
-        plan.configurations.append((times, {int(lengths[j]): int(config[j]) for j in at}))
-        rem[at] -= config[at] * times
+    def take(at: np.ndarray, c: np.ndarray, times: int) -> None:
+        plan.configurations.append((times, dict(zip(lengths[at].tolist(), c.tolist(), strict=True))))
+        rem[at] -= c * times
 
     configs, x, price, bound = relax(lengths, counts, capacity, **options)
     plan.bound += bound
     plan.lp += float(x.sum())
     for i in np.flatnonzero(x >= 1).tolist():
-        at = np.flatnonzero(configs[i])
-        if times := min(int(x[i]), int((rem[at] // configs[i][at]).min())):
-            take(configs[i], times)
+        at, c = configs[i]
+        if times := min(int(x[i]), int((rem[at] // c).min())):
+            take(at, c, times)
 
     def best_fit(config: np.ndarray) -> None:
         """Fills a configuration with the largest lengths that remain."""
@@ -239,12 +242,12 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, **options) -> Pla
             config[some] = np.minimum(wanted[i], rem[some])
             best_fit(config)
             at = np.flatnonzero(config)
-            take(config, max(1, int((rem[at] // config[at]).min()) // 2))
+            take(at, config[at], max(1, int((rem[at] // config[at]).min()) // 2))
     while rem.any():
         config = np.zeros(len(lengths), np.int64)
         best_fit(config)
         at = np.flatnonzero(config)
-        take(config, int((rem[at] // config[at]).min()))
+        take(at, config[at], int((rem[at] // config[at]).min()))
     return plan
 
 
