@@ -92,6 +92,11 @@ def cascades(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10
             parts *= 2
 
 
+def _within(cascade: Cascade, part: int, parts: int):
+    """The question to one part's cascade; keys of other parts are not in it."""
+    return cascade.contains if parts == 1 else lambda key: (part_of(key, parts) == part) & cascade.contains(key)
+
+
 def build(listed: DataFrame, universe: DataFrame, *, bits_per_key: float = 10.0, max_words: int = MAX_WORDS) -> Cascade:
     """listed, universe: one column key, distinct, not null; keys listed but outside the universe are never asked for and
     are left out. Each level has at most max_words words."""
@@ -139,9 +144,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     parts = cascades(listed, st.save(universe), bits_per_key=bits_per_key, max_words=max_words)
     for j, cascade in enumerate(parts):
         before = p
-        mine = lambda key, j=j, cascade=cascade: (part_of(key, len(parts)) == j) & cascade.contains(key)
         asked = p.select("*", suffixes(F.col("host")).alias("__suffixes"), *cascade.vectors())
-        hit = F.exists("__suffixes", mine if len(parts) > 1 else cascade.contains)
+        hit = F.exists("__suffixes", _within(cascade, j, len(parts)))
         p = asked.select("page_id", "host", "path", (F.col("listed") | hit if j else hit).alias("listed"))
         if j + 1 < len(parts):
             p = st.save(p)
