@@ -263,3 +263,15 @@ def test_against_hand_written_sql(spark, name):
             np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=2e-6, err_msg=c)
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
+
+
+def test_scaled_windows_keep_their_order():
+    import inspect
+
+    from quantloom.operators import formulas
+
+    for name, (_, f, params) in formulas.REGISTRY.items():
+        own = params if isinstance(params, dict) else {k: p.default for k, p in inspect.signature(f).parameters.items()}
+        out = formulas.scaled(own, 14)
+        windows = sorted((v, k) for k, v in own.items() if isinstance(v, int) and v >= 12)
+        assert all(out[a] < out[b] for (x, a), (y, b) in itertools.pairwise(windows) if x < y), name
