@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, nearest, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, urls
+from . import licenses, mixing, nearest, ngram_join, packing, quality, sharding, sql, substring_dedup, suffix_dedup, urls
 from ._common import id_out, read
 
 # Rules of the URL filter (verdict, host, path) and the listed domains.
@@ -65,20 +65,10 @@ QUERIES = {
     for f in (op1_mix_sources, op2_suffix_dedup, op3_extendible_sharding, op4_url_filter, op5_best_fit_packing, op6_quality_rules, op7_nearest, op8_ngram_join, op9_substring_dedup, op10_license_scan)
 }
 
-_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-
-
-def _url_sql() -> str:
-    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
-    rule = " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for _, h, p in rules)
-    verdict = " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for v, h, p in rules)
-    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in LISTED)
-    return f"""
-    WITH p AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages),
-    q AS (SELECT page_id, lower(regexp_extract(r, '^([^/?#]*)', 1)) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
-    SELECT page_id, host, path, CASE {rule} END AS rule, ({listed}) AS listed,
-           CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM q"""
-
-
 #: SQL where it expresses the result; the other operators are held against brute force in tests/llm.
-ORACLE = {"op4_url_filter": _url_sql()}
+ORACLE = {
+    "op2_suffix_dedup": sql.suffix_dedup(400),
+    "op4_url_filter": sql.url_filter(URL_RULES, LISTED),
+    "op8_ngram_join": sql.ngram_components(4, 85, 100),
+    "op9_substring_dedup": sql.substring_dedup(20),
+}

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import licenses, mixing, nearest, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, urls
+from quantloom.llm import licenses, mixing, nearest, ngram_join, packing, quality, sharding, sql, substring_dedup, suffix_dedup, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rest string, keys string"
@@ -465,3 +465,17 @@ def test_stages_on_odd_rows(spark, odd):
     assert 0.8 * 1.5 * sum(len(words(x)) for _, x in data) < sum(len(words(x)) for x in mixed.text) < 1.2 * 1.5 * sum(len(words(x)) for _, x in data)
     for _, stage in P.STAGES:
         assert stage(spark, d.limit(0), "").count() == 0
+
+
+def test_sql_says_the_same(docs):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    pairs = [
+        (suffix_dedup.dedup_digests(docs, length=400), sql.suffix_dedup(400)),
+        (substring_dedup.dedup_digests(docs, window=20), sql.substring_dedup(20)),
+        (ngram_join.ngram_components(docs, k=4, num=85, den=100), sql.ngram_components(4, 85, 100)),
+    ]
+    for got, twin in pairs:
+        want = con.sql(twin)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
