@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.floats import ratio
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -105,11 +107,11 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def quote_spreads(quotes: DataFrame) -> DataFrame:
     mid = (F.col("best_bid_price") + F.col("best_ask_price")) / 2
-    return quotes.withColumn("mid", mid).withColumn("spread_bps", (F.col("best_ask_price") - F.col("best_bid_price")) / mid * 1e4)
+    return quotes.withColumn("mid", mid).withColumn("spread_bps", ratio(F.col("best_ask_price") - F.col("best_bid_price"), mid) * 1e4)
 
 
 def quote_stats(quotes: DataFrame) -> DataFrame:
-    """By symbol: updates, quartiles of the spread where it is above 0 and below 200 basis points, updates a second and the
+    """By symbol: updates, quartiles of the spread where it is above 0 and below 200 basis points, updates a second, the mean and
     median time between them (gaps of a minute or more left out), and the median notional at the bid."""
     w = Window.partitionBy("symbol").orderBy("transaction_time", "update_id")
     q = quote_spreads(quotes).withColumn("__gap", (F.col("transaction_time") - F.lag("transaction_time").over(w)) / 1000)
@@ -118,7 +120,7 @@ def quote_stats(quotes: DataFrame) -> DataFrame:
     return q.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_updates"), *[F.percentile(s, p).alias(n) for p, n in ((0.5, "spread_bps_median"), (0.25, "spread_bps_p25"), (0.75, "spread_bps_p75"))],
         (F.percentile(s, 0.5) / 2).alias("half_spread_bps_median"), (1 / F.nullif(F.avg(gap), F.lit(0.0))).alias("quote_update_hz"),
-        F.percentile(F.col("best_bid_qty") * F.col("best_bid_price"), 0.5).alias("bid_notional_median"), F.percentile(gap, 0.5).alias("time_at_touch_median"),
+        F.percentile(F.col("best_bid_qty") * F.col("best_bid_price"), 0.5).alias("bid_notional_median"), F.percentile(gap, 0.5).alias("time_at_touch_median"), F.avg(gap).alias("mean_gap"),
     )
 
 

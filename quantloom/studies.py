@@ -424,7 +424,7 @@ def depth_bars_full(spark, sf_dir):
 def _archive(spark, sf_dir, kind: str, line, header: str) -> DataFrame:
     """Events as lines of an archive of the kind, a header in every file and each line twice."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    lines = e.select(F.concat(F.lit("/x/"), F.col("event_type"), F.lit(f"-{kind}-2024.csv")).alias("path"), F.lit(header).alias("header"), F.concat_ws(",", *line).alias("line"))
+    lines = e.select(F.concat(F.lit("/x/"), F.col("event_type"), F.lit(f"-{kind}-2024.csv")).alias("path"), F.lit(header).alias("header"), F.concat_ws(",", *[F.coalesce(x.cast("string"), F.lit("")) for x in line]).alias("line"))
     heads = lines.select("path", "header", F.col("header").alias("line")).distinct()
     return archives.parse(lines.unionByName(lines).unionByName(heads), kind)
 
@@ -456,7 +456,7 @@ def archive_quotes(spark, sf_dir):
     ask = F.col("value") * (1 + (F.col("user_id") % 5) * 0.001)
     line = [F.col("event_id"), F.col("value"), 1 + F.col("user_id") % 7, ask, F.lit(1.0), F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0)]
     d = archives.quote_stats(_archive(spark, sf_dir, "quotes", line, "update_id,best_bid_price,best_bid_qty,best_ask_price,best_ask_qty,transaction_time,event_time"))
-    return d.select("symbol", "n_updates", *[F.round(c, 5).alias(c) for c in ("spread_bps_median", "spread_bps_p25", "spread_bps_p75", "bid_notional_median")], F.round(1 / F.col("quote_update_hz"), 5).alias("mean_gap"))
+    return d.select("symbol", "n_updates", *[F.round(c, 5).alias(c) for c in ("spread_bps_median", "spread_bps_p25", "spread_bps_p75", "bid_notional_median")], F.round("mean_gap", 5).alias("mean_gap"))
 
 
 def _stream_dir(spark: SparkSession) -> str:
