@@ -291,7 +291,7 @@ def odd_events(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["archive_quotes", "tape_bars_full", "depth_bars_full", "passive_fills"])
+@pytest.mark.parametrize("name", ["archive_quotes", "tape_bars_full", "depth_bars_full", "passive_fills", "maker_costs"])
 def test_zeros_against_hand_written_sql(spark, odd_events, name):
     """Over 0, Spark raises and the SQL gives infinities and NaN: rows are the same, and so is which of these a value is."""
     import duckdb
